@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import keyed_texts
+from codeloom.llm.common import checkpointed, keyed_texts
 
 MASK = (1 << 60) - 1
 #: Members of a group for each partition that its first record is sent to.
@@ -63,7 +63,8 @@ def fingerprints(parts: DataFrame) -> DataFrame:
         whole = F.xxhash64(F.lit(seed), F.lit("body"), "body").bitwiseAND(F.lit(MASK))
         total = (multiset("head", "head", seed) + multiset("includes", "include", seed)).bitwiseAND(F.lit(MASK))
         parts = parts.withColumn(i, (total + whole).bitwiseAND(F.lit(MASK)))
-    return parts
+    # Through a generator: filters on the sums, as joins infer them, are then not pushed below and computed again.
+    return parts.select("k", F.explode(F.array(F.struct("f1", "f2", "head", "includes", "body"))).alias("p")).select("k", "p.*")
 
 
 def same_multiset(a: str, b: str) -> Column:
@@ -76,7 +77,7 @@ def copies(df: DataFrame, key: str, text: str) -> DataFrame:
     parts = fingerprints(fields(keyed_texts(df, key, text)))
     groups = parts.groupBy("f1", "f2").agg(F.min("k").alias("first"), F.count("*").alias("n"))
     several = groups.where("n > 1").withColumn("salts", F.ceil(F.col("n") / MEMBERS_PER_SALT).cast("int"))
-    members = parts.join(several, ["f1", "f2"]).withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
+    members = checkpointed(parts.join(several, ["f1", "f2"]).withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int")))
     # min_by would hold whole texts in the first aggregation; the first record is picked from the members instead.
     heads = members.where("k = first").dropDuplicates(["f1", "f2"])
     heads = heads.select("f1", "f2", F.col("head").alias("head0"), F.col("includes").alias("includes0"), F.col("body").alias("body0"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
