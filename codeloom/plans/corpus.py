@@ -199,8 +199,8 @@ _SPACE = " || ".join(f"chr({ord(c)})" for c in X.WHITE_SPACE)
 _TEXT = r"regexp_replace({0}, '\r\n?', chr(10), 'g')"
 _PROGRAMS = f"SELECT ProgramID, {_TEXT.format('Content')} AS t FROM benchmark_dataset"
 _CLEAN = f"regexp_replace(regexp_replace({{0}}, {_q(X.BLOCK_COMMENT)}, ' ', 'gs'), {_q(X.LINE_COMMENT)}, ' ', 'g')"
-_BLANK = f"regexp_replace({{0}}, {_q(X.STRING_LITERAL)}, '\"\"', 'gs')"
-_N = lambda c, p, o="": f"len(regexp_extract_all({c}, {_q(p)}{', 0, ' + _q(o) if o else ''}))"
+_BLANK = f"regexp_replace({{0}}, {_q(X.STRING_LITERAL)}, '\"\"', 'g')"
+_N = lambda c, p, o="": f"len(regexp_extract_all({c}, {_q((f'(?{o})' if o else '') + p)}))"
 
 _LINES = f"""
 WITH p AS ({_PROGRAMS}),
@@ -226,7 +226,7 @@ blank AS (SELECT *, {_BLANK.format('stripped')} AS blanked FROM strip),
 marked AS (SELECT *, {' OR '.join(f"regexp_matches(blanked, {_q(p)})" for p in X.MAIN_PATTERNS)} AS has_main,
   CASE {' '.join(f"WHEN regexp_matches(blanked, {_q(p)}) THEN {_q(n)}" for n, p in X.TEST_FRAMEWORKS)} ELSE '' END AS framework FROM blank),
 classes AS (SELECT path, File AS rel, CASE WHEN framework <> '' THEN 'test' WHEN has_main THEN 'executable' ELSE 'library' END AS program_type FROM marked WHERE length(t) > 0),
-inc AS (SELECT path, unnest(regexp_extract_all(stripped, {_q(X.LOCAL_INCLUDE)}, 1, 'm')) AS include FROM strip),
+inc AS (SELECT path, unnest(regexp_extract_all(stripped, {_q('(?m)' + X.LOCAL_INCLUDE)}, 1)) AS include FROM strip),
 names AS (SELECT DISTINCT regexp_extract(OriginalPath, '[^/]*$') AS name FROM raw_sources),
 dep AS (SELECT DISTINCT path FROM inc WHERE include <> '{X.ALWAYS_PRESENT_HEADER}' AND NOT starts_with(include, '<') AND regexp_extract(include, '[^/]*$') NOT IN (SELECT name FROM names)),
 verdicts AS (SELECT OriginalPath AS path, CASE WHEN min(CASE WHEN Status = 'PASS' THEN 1 ELSE 0 END) = 1 THEN 'PASS' ELSE 'FAIL' END AS status, max(CompileTimeSeconds) AS seconds FROM compile_report WHERE OriginalPath IS NOT NULL GROUP BY 1),

@@ -95,7 +95,7 @@ _B = lambda c: _BOOL(c, X.TRUE_WORDS_B)
 _FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _INT_A = f"coalesce(CASE WHEN regexp_matches(trim(RepairRounds, {_SPACE}), '{_FLOAT}') THEN trunc(try_cast(trim(RepairRounds, {_SPACE}) AS DOUBLE))::BIGINT END, 0)"
 _INT_B = rf"coalesce(CASE WHEN regexp_matches(trim(RepairRounds, {_SPACE}), '^[+-]?\d+$') THEN try_cast(trim(RepairRounds, {_SPACE}) AS BIGINT) END, 0)"
-_POS = lambda c: f"CASE WHEN {c} > 0 AND NOT isnan({c}::DOUBLE) THEN {c} END"
+_POS = lambda c: f"CASE WHEN {c} > 0 AND {c}::VARCHAR <> 'nan' THEN {c} END"
 _MEAN = lambda c: f"round(coalesce(avg({_POS(c)}), 0.0), 6)"
 _SUMMARY = "s AS (SELECT * FROM summary_results WHERE starts_with(Program, 'program_') OR NOT (SELECT bool_or(starts_with(Program, 'program_')) FROM summary_results))"
 _DETAIL = "d AS (SELECT * FROM experiment_results WHERE starts_with(Program, 'program_') OR NOT (SELECT bool_or(starts_with(Program, 'program_')) FROM experiment_results))"

@@ -113,7 +113,7 @@ def rolling_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = M.rolling_mean(calls, "session", ["ts", "event_id"], "value")
     rows = M.running_sum(rows.withColumn("one", F.lit(1)), "session", F.to_date("ts"), ["ts", "event_id"], "one", "done")
     sizes = calls.groupBy("session").agg(F.count("*").alias("total"), F.min("ts").alias("start"))
-    rows = rows.join(sizes, "session").withColumn("seconds", (F.unix_micros("ts") - F.unix_micros("start")) / 1e6)
+    rows = rows.join(sizes, "session").withColumn("seconds", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 1e6)
     made = M.progress(F.col("done"), F.col("total"), F.col("seconds"), F.col("rolling"))
     return rows.select("event_id", F.round("rolling", 6).alias("rolling"), "done", *[F.round(c, 4).alias(n) if n in ("eta_seconds", "per_minute") else c.alias(n) for n, c in made.items()])
 
@@ -163,7 +163,7 @@ def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adaptive_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _calls(spark, sf_dir).select("session", (F.unix_micros("ts") / 1e6).alias("at"), F.col("event_id").alias("seq"), "ok", "retryable")
+    calls = _calls(spark, sf_dir).select("session", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("seq"), "ok", "retryable")
     return M.adaptive_limits(calls, 8)
 
 
@@ -208,23 +208,23 @@ SQL = {
       SELECT event_id, round(m, 6) AS rolling, done, floor(done * 100 / greatest(total, 1))::BIGINT AS percent, greatest(total - done, 0) AS remaining, round(greatest(total - done, 0) * m, 4) AS eta_seconds,
       round(done / greatest(CASE WHEN seconds > 0 THEN seconds / 60.0 ELSE 0.001 END, 0.001), 4) AS per_minute FROM t""",
     "success_runs": f"WITH {_CALLS}, i AS (SELECT session, ok, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) - row_number() OVER (PARTITION BY session, ok ORDER BY ts, event_id) AS g FROM c), n AS (SELECT session, ok, g, count(*) AS n FROM i GROUP BY ALL) SELECT session, ok, max(n) AS longest FROM n GROUP BY ALL",
-    "phase_timing": "WITH l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS phase, {c} AS v FROM experiment_results" for n, c in _TIMES.items()) + "), p AS (SELECT phase, sum(v) AS seconds, count(*) AS calls, avg(v) AS mean FROM l WHERE v > 0 AND NOT isnan(v) GROUP BY 1), a AS (SELECT * FROM p UNION ALL SELECT 'other', greatest(1000000.0 - sum(seconds), 0.0), 0, 0.0 FROM p) SELECT phase, round(seconds, 4) AS seconds, calls, round(mean, 6) AS mean, round(seconds / 1000000.0 * 100, 6) AS percent FROM a",
+    "phase_timing": "WITH l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS phase, {c} AS v FROM experiment_results" for n, c in _TIMES.items()) + "), p AS (SELECT phase, sum(v) AS seconds, count(*) AS calls, avg(v) AS mean FROM l WHERE v > 0 AND v::VARCHAR <> 'nan' GROUP BY 1), a AS (SELECT * FROM p UNION ALL SELECT 'other', greatest(1000000.0 - sum(seconds), 0.0), 0, 0.0 FROM p) SELECT phase, round(seconds, 4) AS seconds, calls, round(mean, 6) AS mean, round(seconds / 1000000.0 * 100, 6) AS percent FROM a",
     "cache_stats": f"WITH {_FACTS}, k AS (SELECT count(*) AS n FROM f GROUP BY program, test_input) SELECT (sum(n) - count(*))::BIGINT AS hits, count(*) AS misses, (sum(n) - count(*)) / sum(n) AS hit_rate FROM k",
     "translation_cache": "SELECT ProgramID, substr(sha256(Content), 1, 16) AS sha16, right(ProgramID, 1) IN ('0', '2', '4', '6', '8') AS hit FROM benchmark_dataset",
     "resume_remaining": "SELECT ProgramID FROM benchmark_dataset WHERE ProgramID NOT IN (SELECT Program FROM summary_results WHERE Program IS NOT NULL)",
     "retry_classes": "SELECT coalesce(FailureReason, '') AS reason, coalesce(ErrorType, '') AS kind, count(*) AS n, " + " OR ".join([f"contains(lower(coalesce(FailureReason, '')), {_q(t)})" for t in X.RETRYABLE_TEXTS] + [f"contains(lower(coalesce(ErrorType, '')), {_q(t)})" for t in X.RETRYABLE_CLASS_PARTS]) + " AS retryable FROM experiment_results GROUP BY 1, 2, 4",
     "retry_backoff": "SELECT Round, count(*) AS n, pow(2.0, Round) AS wait FROM experiment_results GROUP BY Round",
-    "adaptive_limit": f"""WITH RECURSIVE {_CALLS}, o AS (SELECT session, ok, retryable, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY session) AS n FROM c),
+    "adaptive_limit": f"""WITH RECURSIVE {_CALLS}, o AS (SELECT session, ok, retryable, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY session) AS n FROM c),
       st AS (
-        SELECT DISTINCT session, 0::BIGINT AS i, 8 AS cur, 0 AS fails, 0 AS succ, -1e18::DOUBLE AS last, 0 AS red, 0 AS res FROM o
+        SELECT DISTINCT session, 0::BIGINT AS i, 8 AS cur, 0 AS fails, 0 AS succ, -1e18::DOUBLE AS prev, 0 AS red, 0 AS res FROM o
         UNION ALL
         SELECT q.session, q.i,
           CASE WHEN raise THEN cur + 1 WHEN lower_ THEN cur - 1 ELSE cur END,
           CASE WHEN ok THEN 0 WHEN NOT retryable THEN fails WHEN lower_ THEN 0 ELSE fails + 1 END,
           CASE WHEN ok THEN CASE WHEN raise THEN 0 ELSE succ + 1 END WHEN NOT retryable THEN succ ELSE 0 END,
-          CASE WHEN lower_ THEN at ELSE last END, red + lower_::INT, res + raise::INT
-        FROM (SELECT o.session, o.i, o.ok, o.retryable, o.at, st.cur, st.fails, st.succ, st.last, st.red, st.res,
-            o.ok AND st.succ + 1 >= 8 AND st.cur < 8 AS raise, NOT o.ok AND o.retryable AND st.fails + 1 >= 2 AND st.cur > 2 AND o.at - st.last > 5.0 AS lower_
+          CASE WHEN lower_ THEN tm ELSE prev END, red + lower_::INT, res + raise::INT
+        FROM (SELECT o.session, o.i, o.ok, o.retryable, o.tm, st.cur, st.fails, st.succ, st.prev, st.red, st.res,
+            o.ok AND st.succ + 1 >= 8 AND st.cur < 8 AS raise, NOT o.ok AND o.retryable AND st.fails + 1 >= 2 AND st.cur > 2 AND o.tm - st.prev > 5.0 AS lower_
           FROM st JOIN o ON o.session = st.session AND o.i = st.i + 1) q)
       SELECT st.session::VARCHAR AS session, o.n AS calls, cur AS current_limit, red AS total_reductions, res AS total_restorations FROM st JOIN o ON o.session = st.session AND o.i = st.i WHERE o.i = o.n""",
 }

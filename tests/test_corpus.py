@@ -59,7 +59,7 @@ def test_numbers_are_dense_over_partitions(spark):
 
 
 def test_owner(spark):
-    urls = ["https://github.com/ann/repo.git", "https://code.x.example/bob/r", "git@host:carl/r.git", "unknown", "https://github.com/dot.ted/"]
+    urls = ["https://github.com/ann/repo.git", "https://code.x.example/bob/r", "git@host.example:carl/r.git", "unknown", "https://github.com/dot.ted/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "i int, u string").orderBy("i").select(C.owner(F.col("u"))).collect()
     assert [r[0] for r in rows] == ["ann", "bob", "unknown", "unknown", "unknown"]
 
