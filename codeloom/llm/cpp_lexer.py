@@ -142,18 +142,21 @@ def chunks(text: str, size: int) -> list[str]:
     return [*out, text[at:]] if at < len(text) or not out else out
 
 
-_ESCAPE = re.compile(r"\\(?:u\{?([0-9a-fA-F]{4})\}?|U([0-9a-fA-F]{8})|x([0-9a-fA-F]+)|([0-7]{1,3})|(\r?\n)|(.))", re.S)
+_ESCAPE = re.compile(r"\\(?:u\{?([0-9a-fA-F]{4})\}?|U([0-9a-fA-F]{8})|(\r?\n)|((?:x[0-9a-fA-F]+|[0-7]{1,3})(?:\\(?:x[0-9a-fA-F]+|[0-7]{1,3}))*)|(.))", re.S)
 #: The simple escape sequences of C++.
-SIMPLE_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
+SIMPLE_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
 
 
 def _unescape_one(m: re.Match) -> str:
     if m[1] or m[2]:
         code = int(m[1] or m[2], 16)
         return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
-    if m[3] or m[4]:
-        return chr(min(int(m[3], 16) if m[3] else int(m[4], 8), 255))
-    return "" if m[5] else SIMPLE_ESCAPES.get(m[6], m[6])
+    if m[3]:
+        return ""
+    if m[4]:
+        raw = bytes(int(b[1:], 16) & 255 if b[0] == "x" else int(b, 8) & 255 for b in m[4].split("\\"))
+        return raw.decode("utf-8", "replace")
+    return SIMPLE_ESCAPES.get(m[5], m[5])
 
 
 def printed(kind: str, literal: str) -> str:
@@ -164,15 +167,7 @@ def printed(kind: str, literal: str) -> str:
         return inner[:end] if end >= 0 and inner.endswith('"') else inner
     inner = literal[literal.find('"') + 1 :]
     inner = inner[:-1] if inner.endswith('"') else inner
-    if "\\" not in inner:
-        return inner
-    out = _ESCAPE.sub(_unescape_one, inner)
-    if "\\x" in inner or re.search(r"\\[0-3][0-7]{2}", inner):
-        try:
-            return re.sub(r"[\x80-\xff]+", lambda m: m[0].encode("latin-1").decode("utf-8"), out)
-        except UnicodeDecodeError:
-            return out
-    return out
+    return _ESCAPE.sub(_unescape_one, inner) if "\\" in inner else inner
 
 
 _MARKER = re.compile(r"^[ \t]*(?:/\*+[!<]*|//[/!]*<?|\*+/?)?[ \t]?|[ \t]*\*+/[ \t]*$")

@@ -1283,6 +1283,8 @@ class Parser:
     def expression(self) -> None:
         self.assignment()
         while self.take(","):
+            if self.take("..."):  # a fold over commas
+                return
             self.assignment()
 
     def assignment(self) -> None:

@@ -73,12 +73,14 @@ STREET_AFTER = "Street St Road Rd Lane Ln Avenue Ave Boulevard Blvd Drive Dr Cou
 STREET_BEFORE = "Calle Avenida Rua Plaza Paseo Camino Travessa Avda Av Carrera Praça Largo Estrada Alameda Carretera Via Viale Piazza Corso".split()
 STREET_RUE = "rue avenue boulevard place quai chemin allée impasse cours route Rue Avenue Boulevard Place Quai Chemin Allée Impasse".split()
 STREET_END = "straße strasse str\\. weg platz gasse allee ring damm ufer pfad steig straat gatan vej".split()
-_HOUSE = r"\d{1,5}(?:[ ]?[a-zA-Z](?![\w]))?(?:/\d{1,4})?"
+_HOUSE = r"\d{1,5}(?:[a-zA-Z](?!\w))?(?:/\d{1,4})?"
 _STREET_NAME = f"(?:(?:de|del|da|do|dos|das|la|las|los|el|of|the|des|du|le|les){_S})*(?:[dl]['’])?[{UP}][\\w'’-]*(?:{_S}(?:(?:de|del|da|do|la|du|des|of|e|y){_S})*[{UP}][\\w'’-]*){{0,3}}"
-#: Each form of a street address, and the strings of which a text with that form has one.
+#: A street name that nothing follows: a second word belongs to it only at the end of a phrase.
+#: Then each form of a street address, and the strings of which a text with that form has one.
+_LAST_NAME = f"(?:(?:de|del|da|do|la|du|des|le|les){_S})*(?:[dl]['’])?[{UP}][\\w'’-]*(?:(?:[ \\t]+(?:de|du|des|la|le|les))*[ \\t]+[{UP}][\\w'’-]*(?=,|;|\\.?[ \\t]*\\r?(?:\\n|\\Z)|\\.[ \\t]))?"
 ADDRESSES = [
     ([f" {w}" for w in STREET_AFTER], rf"(?<![\w/.:-]){_HOUSE}{_S}(?:[{UP}][\w'’-]*{_S}){{1,3}}(?:{'|'.join(STREET_AFTER)})(?!\w)"),
-    ([f"{w} " for w in STREET_RUE] + [f"{w}\n" for w in STREET_RUE], rf"(?<![\w/.:-]){_HOUSE},?{_S}(?:bis{_S})?(?:{'|'.join(STREET_RUE)}){_S}{_STREET_NAME}"),
+    ([f"{w} " for w in STREET_RUE] + [f"{w}\n" for w in STREET_RUE], rf"(?<![\w/.:-]){_HOUSE},?{_S}(?:bis{_S})?(?:{'|'.join(STREET_RUE)}){_S}{_LAST_NAME}"),
     (STREET_BEFORE, rf"(?<!\w)(?:{'|'.join(STREET_BEFORE)})\.?{_S}{_STREET_NAME},?{_S}(?:n[.º°]?{_S}?)?{_HOUSE}(?![\w.]\d)"),
     ([f"{w} ".replace("\\", "") for w in STREET_END] + [f"{w}\n".replace("\\", "") for w in STREET_END], rf"(?<!\w)[{UP}][\w-]*(?:{'|'.join(STREET_END)}){_S}{_HOUSE}(?!\w)"),
     (["Straße", "Strasse", "Weg", "Platz", "Gasse", "Allee", "Ring"], rf"(?<!\w)[{UP}][\w-]*{_S}(?:Straße|Strasse|Weg|Platz|Gasse|Allee|Ring){_S}{_HOUSE}(?!\w)"),
@@ -86,7 +88,7 @@ ADDRESSES = [
     (["ул.", "пр.", "пер.", "просп.", "наб.", "пл.", "бул.", "ш."], rf"(?<!\w)(?:ул|пр|пер|просп|наб|пл|бул|ш)\.{_S}?{_STREET_NAME},?{_S}(?:д\.{_S}?)?{_HOUSE}(?:,?{_S}(?:корп|стр)\.{_S}?\d+)?"),
     (["улица", "проспект", "переулок", "набережная"], rf"(?<!\w)(?:улица|проспект|переулок|набережная){_S}{_STREET_NAME},?{_S}(?:д\.{_S}?|дом{_S})?{_HOUSE}"),
 ]
-ADDRESSES = [(re.compile("(?:" + "|".join(map(re.escape, words)) + ")" + r"(?!\w)" * words[0].startswith(" ")), re.compile(form)) for words, form in ADDRESSES]
+ADDRESSES = [(words, re.compile("(?:" + "|".join(map(re.escape, words)) + ")" + r"(?!\w)" * words[0].startswith(" ")), re.compile(form)) for words, form in ADDRESSES]
 #: How far a form reaches to each side of its word.
 ADDRESS_REACH = 120
 
@@ -134,10 +136,11 @@ def contexts(text: str, start: int, end: int) -> tuple[str, str]:
         left = ["\n"]
     if end >= len(text) or not text[end:].strip():
         right = ["\n"]
-    while len(right) > 1 and right[0] == "\n":
-        right = right[:1]
-    while len(left) > 1 and left[-1] == "\n":
-        left = left[-1:]
+    # A context does not reach beyond its line.
+    if "\n" in left:
+        left = left[len(left) - 1 - left[::-1].index("\n") :]
+    if "\n" in right:
+        right = right[: right.index("\n") + 1]
     return " ".join(left), " ".join(right)
 
 
@@ -172,7 +175,9 @@ def fixed_forms(text: str) -> list[tuple[str, int, int, bool]]:
 
     for a, b in emails(text):
         put("email", a, b)
-    for word, form in ADDRESSES:
+    for words, word, form in ADDRESSES:
+        if not any(w in text for w in words):
+            continue
         at = 0
         while w := word.search(text, at):
             at = w.end()

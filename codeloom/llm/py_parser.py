@@ -221,6 +221,9 @@ class Tokens:
         while at < n:
             c = body[at]
             if inner:
+                if c == "\\":
+                    self.errors.append((line, "f-string expression part cannot include a backslash"))
+                    return -1
                 if body.startswith(inner, at):
                     at += len(inner)
                     inner = ""
@@ -585,7 +588,8 @@ class Parser:
         start, errors = self.at, len(self.errors)
         try:
             self.at += 1
-            self.star_expressions()
+            if not self.attempt(self._named_subject):
+                self.star_expressions()
             self.need(":")
             if self.kinds[self.at] != "nl" or self.kinds[self.at + 1] != "in" or self.texts[self.at + 2] != "case":
                 self.fail()
@@ -605,6 +609,11 @@ class Parser:
             self.fail()
         return True
 
+    def _named_subject(self) -> None:
+        self.named()
+        if not self.is_op(":"):
+            self.fail()
+
     def patterns(self) -> None:
         while True:
             if self.op("*"):
@@ -804,11 +813,12 @@ class Parser:
             good = good and kind.removeprefix("paren-") in ("name", "attribute", "index", "target", "list-target", "star")
         return "target" if good else "tuple"
 
-    def star_expression(self) -> str:
+    def star_expression(self, named: bool = False) -> str:
+        """An expression or an unpacked one; only inside brackets may it name its value."""
         if self.op("*"):
-            kind = self.binary(1)
-            return "star" if kind.removeprefix("paren-") in ("name", "attribute", "index", "target", "list-target", "call", "other", "list", "tuple", "dict") else "star"
-        return self.named()
+            self.binary(1)
+            return "star"
+        return self.named() if named else self.expression()
 
     def yield_(self) -> str:
         self.at += 1
@@ -1011,7 +1021,7 @@ class Parser:
                     self.yield_()
                     self.need(")")
                     return "yield"
-                kind = self.star_expression()
+                kind = self.star_expression(True)
                 if self.is_word("for", "async"):
                     if kind == "star":
                         self.fail("iterable unpacking cannot be used in comprehension")
@@ -1023,7 +1033,7 @@ class Parser:
                     while self.op(","):
                         if self.is_op(")"):
                             break
-                        kind = self.star_expression()
+                        kind = self.star_expression(True)
                         good = good and kind.removeprefix("paren-") in ("name", "attribute", "index", "target", "list-target", "star")
                     self.need(")")
                     return "target" if good else "tuple"
@@ -1035,7 +1045,7 @@ class Parser:
                 self.at += 1
                 good = True
                 if not self.is_op("]"):
-                    kind = self.star_expression()
+                    kind = self.star_expression(True)
                     if self.is_word("for", "async"):
                         if kind == "star":
                             self.fail("iterable unpacking cannot be used in comprehension")
@@ -1046,7 +1056,7 @@ class Parser:
                     while self.op(","):
                         if self.is_op("]"):
                             break
-                        kind = self.star_expression()
+                        kind = self.star_expression(True)
                         good = good and kind.removeprefix("paren-") in ("name", "attribute", "index", "target", "list-target", "star")
                 self.need("]")
                 return "list-target" if good else "list"
@@ -1062,7 +1072,7 @@ class Parser:
             self.binary(1)
             mapping = True
         else:
-            kind = self.star_expression()
+            kind = self.star_expression(True)
             mapping = self.op(":")
             if mapping:
                 self.expression()
@@ -1083,7 +1093,7 @@ class Parser:
                     self.need(":")
                     self.expression()
             else:
-                self.star_expression()
+                self.star_expression(True)
         self.need("}")
         return "dict" if mapping else "set"
 

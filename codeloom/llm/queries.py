@@ -143,7 +143,7 @@ long AS (
   SELECT Program, 'TranslationTime' AS metric, TranslationTime AS v FROM rows
   UNION ALL SELECT Program, 'CompileTime', CompileTime FROM rows
   UNION ALL SELECT Program, 'RuntimeTime', RuntimeTime FROM rows),
-good AS (SELECT * FROM long WHERE v >= 0 AND NOT isnan(v) AND NOT isinf(v))
+good AS (SELECT * FROM long WHERE v >= 0 AND v::VARCHAR NOT IN ('nan', 'inf'))
 """
 
 _P2_KEYS = r"""
