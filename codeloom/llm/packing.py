@@ -115,7 +115,8 @@ def _packer(capacity: int, full: float, first: bool):
 
 def pack(counted: DataFrame, capacity: int = 2048, containers: int = 512, full: float = 0.97, again_windows: int = 64) -> DataFrame:
     """(container, k, source, start, n) of (k, source, n): tokens start .. start + n of item k lie in container."""
-    served = checkpointed(assign_windows(counted, containers * capacity))
+    # Counted once: the totals, the running sums and the pieces all need it, and texts are not needed again.
+    served = checkpointed(assign_windows(checkpointed(counted), containers * capacity))
     whole = F.floor(F.col("n") / capacity)
     cut = served.withColumn("whole", F.when(F.col("n") > capacity, whole).otherwise(0).cast("int"))
     heads = cut.where("whole > 0").select("k", "source", "w", F.posexplode(F.array_repeat(F.lit(0), F.col("whole"))).alias("i", "z"))
