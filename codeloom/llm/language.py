@@ -213,10 +213,18 @@ def training_rows(labelled: list[tuple[str, str]], programs: list[str]) -> list[
 
 def fit(programs: DataFrame, key: str, text: str, documents: DataFrame, doc_key: str, doc_text: str, doc_lang: str, max_train: int = 800) -> Model:
     """The model, from at most ``max_train`` labelled documents and ``max_train`` programs with kana."""
-    docs = documents.where(F.col(f"`{doc_lang}`").isNotNull() & F.col(f"`{doc_text}`").isNotNull())
-    drawn = docs.select(F.col(f"`{doc_text}`").alias("t"), F.col(f"`{doc_lang}`").alias("l"), F.xxhash64(F.col(f"`{doc_key}`")).alias("h")).orderBy("h").limit(max_train).collect()
-    kana = keyed_texts(programs, key, text).where(F.col("t").rlike(r"[ぁ-ヿ]|\\u30[4-9a-f]")).orderBy(F.xxhash64("k")).limit(max_train).collect()
-    return Model.train(training_rows([(r.t, r.l) for r in drawn], [r.t for r in kana]))
+    docs = documents.where(F.col(f"`{doc_lang}`").isNotNull() & F.col(f"`{doc_text}`").isNotNull()).withColumnRenamed(doc_lang, "_lang")
+    drawn = _drawn(docs, doc_key, doc_text, "_lang", max_train)
+    kana = _drawn(programs.where(F.col(f"`{text}`").rlike(r"[ぁ-ヿ]|\\\\u30[4-9a-f]")).withColumn("_lang", F.lit("ja")), key, text, "_lang", max_train)
+    return Model.train(training_rows([(t, lang) for t, lang in drawn], [t for t, _ in kana]))
+
+
+def _drawn(df: DataFrame, key: str, text: str, label: str, n: int) -> list[tuple[str, str]]:
+    """(text, label) of the ``n`` rows with the least hashes of their keys. Keys are drawn first, so that partitions send no
+    texts but those drawn."""
+    rows = df.select(F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"), F.col(f"`{text}`").alias("t"), F.col(label).alias("l"))
+    least = [r.h for r in rows.select("h").orderBy("h").limit(n).collect()]
+    return [(r.t, r.l) for r in rows.where(F.col("h") <= max(least)).limit(n).collect()] if least else []
 
 
 def chunk_states(docs: DataFrame, chunk_chars: int) -> DataFrame:
