@@ -115,7 +115,7 @@ def rolling_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = calls.groupBy("session").agg(F.count("*").alias("total"), F.min("ts").alias("start"))
     rows = rows.join(sizes, "session").withColumn("seconds", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 1e6)
     made = M.progress(F.col("done"), F.col("total"), F.col("seconds"), F.col("rolling"))
-    return rows.select("event_id", F.round("rolling", 6).alias("rolling"), "done", *[F.round(c, 4).alias(n) if n in ("eta_seconds", "per_minute") else c.alias(n) for n, c in made.items()])
+    return rows.select("event_id", F.round("rolling", 6).alias("rolling"), "done", *[F.round(c, 6).alias(n) if n in ("eta_seconds", "per_minute") else c.alias(n) for n, c in made.items()])
 
 
 def success_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +205,8 @@ SQL = {
     "rolling_eta": f"""WITH {_CALLS}, s AS (SELECT session, count(*) AS total, min(ts) AS start FROM c GROUP BY 1),
       w AS (SELECT event_id, total, ts, start, avg(value) OVER (PARTITION BY session ORDER BY ts, event_id ROWS 19 PRECEDING) AS m, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS done FROM c JOIN s USING (session) WHERE value > 0),
       t AS (SELECT *, (epoch_us(ts) - epoch_us(start)) / 1e6 AS seconds FROM w)
-      SELECT event_id, round(m, 6) AS rolling, done, floor(done * 100 / greatest(total, 1))::BIGINT AS percent, greatest(total - done, 0) AS remaining, round(greatest(total - done, 0) * m, 4) AS eta_seconds,
-      round(done / greatest(CASE WHEN seconds > 0 THEN seconds / 60.0 ELSE 0.001 END, 0.001), 4) AS per_minute FROM t""",
+      SELECT event_id, round(m, 6) AS rolling, done, floor(done * 100 / greatest(total, 1))::BIGINT AS percent, greatest(total - done, 0) AS remaining, round(greatest(total - done, 0) * m, 6) AS eta_seconds,
+      round(done / greatest(CASE WHEN seconds > 0 THEN seconds / 60.0 ELSE 0.001 END, 0.001), 6) AS per_minute FROM t""",
     "success_runs": f"WITH {_CALLS}, i AS (SELECT session, ok, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) - row_number() OVER (PARTITION BY session, ok ORDER BY ts, event_id) AS g FROM c), n AS (SELECT session, ok, g, count(*) AS n FROM i GROUP BY ALL) SELECT session, ok, max(n) AS longest FROM n GROUP BY ALL",
     "phase_timing": "WITH l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS phase, {c} AS v FROM experiment_results" for n, c in _TIMES.items()) + "), p AS (SELECT phase, sum(v) AS seconds, count(*) AS calls, avg(v) AS mean FROM l WHERE v > 0 AND v::VARCHAR <> 'nan' GROUP BY 1), a AS (SELECT * FROM p UNION ALL SELECT 'other', greatest(1000000.0 - sum(seconds), 0.0), 0, 0.0 FROM p) SELECT phase, round(seconds, 4) AS seconds, calls, round(mean, 6) AS mean, round(seconds / 1000000.0 * 100, 6) AS percent FROM a",
     "cache_stats": f"WITH {_FACTS}, k AS (SELECT count(*) AS n FROM f GROUP BY program, test_input) SELECT (sum(n) - count(*))::BIGINT AS hits, count(*) AS misses, (sum(n) - count(*)) / sum(n) AS hit_rate FROM k",
