@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import fixed as X
 from codeloom.functions import text as T
+from codeloom.lineage import checkpointed, fenced, spread
 
 SOURCE_EXTENSION = r"[.](cpp|cc|cxx)$"
 HEADER_EXTENSION = r"[.](h|hpp|hh|hxx)$"
@@ -15,7 +16,7 @@ HEADER_EXTENSION = r"[.](h|hpp|hh|hxx)$"
 def sources(files: DataFrame, path: str = "OriginalPath", content: str = "Content") -> DataFrame:
     """The C++ sources among the files (extension in any case, nothing below .git) as (path, raw, text)."""
     p = F.col(path)
-    return files.where(F.rlike(F.lower(p), F.lit(SOURCE_EXTENSION)) & ~F.contains(p, F.lit("/.git/")) & F.col(content).isNotNull()).select("*", p.alias("path"), F.col(content).alias("raw"), T.normalise(F.col(content)).alias("text"))
+    return spread(files).where(F.rlike(F.lower(p), F.lit(SOURCE_EXTENSION)) & ~F.contains(p, F.lit("/.git/")) & F.col(content).isNotNull()).select("*", p.alias("path"), F.col(content).alias("raw"), T.normalise(F.col(content)).alias("text"))
 
 
 def metrics(src: DataFrame, *keep: str) -> DataFrame:
@@ -28,7 +29,8 @@ def metrics(src: DataFrame, *keep: str) -> DataFrame:
 
 def blanked(src: DataFrame, *keep: str) -> DataFrame:
     """Adds ``stripped`` (no comments) and ``blank`` (no comments, empty strings)."""
-    return src.select(*keep, "path", "text", T.strip_comments(F.col("text")).alias("stripped")).select(*keep, "path", "text", "stripped", T.blank_strings(F.col("stripped")).alias("blank"))
+    rows = src.select(*keep, "path", "text", T.strip_comments(F.col("text")).alias("stripped")).select(*keep, "path", "text", "stripped", T.blank_strings(F.col("stripped")).alias("blank"))
+    return fenced(rows, [*keep, "path", "text"], ["stripped", "blank"])
 
 
 def classify(src: DataFrame, *keep: str) -> DataFrame:
@@ -36,7 +38,8 @@ def classify(src: DataFrame, *keep: str) -> DataFrame:
     rows = blanked(src, *keep).where("length(text) > 0")
     framework = T.test_framework(F.col("blank"))
     kind = F.when(F.col("framework").isNotNull(), "test").when(F.col("entry"), "executable").otherwise("library")
-    return rows.select(*keep, "path", framework.alias("framework"), T.has_main(F.col("blank")).alias("entry")).select(*keep, "path", kind.alias("program_type"), "framework", "entry")
+    rows = rows.select(*keep, "path", framework.alias("framework"), T.has_main(F.col("blank")).alias("entry"))
+    return fenced(rows, [*keep, "path"], ["framework", "entry"]).select(*keep, "path", kind.alias("program_type"), "framework", "entry")
 
 
 def unresolved(src: DataFrame, listing: DataFrame, reported: bool) -> DataFrame:
@@ -172,9 +175,9 @@ def copy_plan(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def benchmark_set(src: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The numbered data set: executable, unique by content and compiled, in the order of the paths."""
-    hashed = with_hash(src)
-    unique = duplicates(hashed).where("is_unique").select("path", "sha")
+    unique = duplicates(with_hash(src)).where("is_unique").select("path", "sha")
     runnable = classify(src).where("program_type = 'executable'").select("path")
     passed = verdicts.where("status = 'PASS'").select("path")
-    chosen = unique.join(runnable, "path", "left_semi").join(passed, "path", "left_semi")
+    # Paths and hashes only; what follows sorts and numbers them, and must see one state of them.
+    chosen = checkpointed(unique.join(runnable, "path", "left_semi").join(passed, "path", "left_semi"))
     return number(chosen, "path").select(program_id(F.col("n")).alias("ProgramID"), F.concat(program_id(F.col("n")), F.lit(".cpp")).alias("Filename"), F.col("path").alias("OriginalSource"), "sha")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import fixed as X
 from codeloom.functions.text import strip
+from codeloom.lineage import checkpointed
 
 
 def judge(facts: DataFrame) -> DataFrame:
@@ -45,6 +46,7 @@ def representatives(failed: DataFrame, most: int = X.MAX_COMPACT_FAILURES, seed:
     longest input and ``drawn`` others by a hash. Of equally long inputs the last index counts as the longest, the first
     as the shortest. Each pick is an aggregate over what is left, so no program's failures are gathered."""
     slim = failed.select("program", F.col("test_index").alias("i"), F.length("test_input").alias("len"), F.xxhash64("program", "test_index", F.lit(seed)).alias("h"))
+    slim = checkpointed(slim)
     sizes = slim.groupBy("program").agg(F.count("*").alias("n"), F.min("i").alias("first"))
     both = slim.join(sizes, "program")
     few = both.where(F.col("n") <= most).select("program", "i", F.lit("all").alias("reason"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import fixed as X
 from codeloom.functions import text as T
+from codeloom.lineage import spread
 from codeloom.operators import corpus as C
 
 
@@ -14,32 +15,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "benchmark_dataset").select("ProgramID", "Content"))
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sources(table(spark, sf_dir, "raw_sources"))
 
 
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark_dataset").select("ProgramID", T.line_classes(T.normalise(F.col("Content"))).alias("l"))
+    rows = _programs(spark, sf_dir).select("ProgramID", T.line_classes(T.normalise(F.col("Content"))).alias("l"))
     return rows.select("ProgramID", F.col("l.total").alias("total"), F.col("l.code").alias("code"), F.col("l.blank").alias("blank"), F.col("l.comment").alias("comments"))
 
 
 def structure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark_dataset").select("ProgramID", T.strip_comments(T.normalise(F.col("Content"))).alias("clean"))
+    rows = _programs(spark, sf_dir).select("ProgramID", T.strip_comments(T.normalise(F.col("Content"))).alias("clean"))
     return rows.select("ProgramID", *[c.alias(n) for n, c in T.structure_counts(F.col("clean")).items()])
 
 
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark_dataset").select("ProgramID", T.strip_comments(T.normalise(F.col("Content"))).alias("clean"))
+    rows = _programs(spark, sf_dir).select("ProgramID", T.strip_comments(T.normalise(F.col("Content"))).alias("clean"))
     return rows.select("ProgramID", T.complexity(F.col("clean")).alias("complexity"))
 
 
 def nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark_dataset").select("ProgramID", T.strip_comments(T.normalise(F.col("Content"))).alias("clean"))
+    rows = _programs(spark, sf_dir).select("ProgramID", T.strip_comments(T.normalise(F.col("Content"))).alias("clean"))
     return rows.select("ProgramID", T.nesting_depth(F.col("clean")).alias("depth"))
 
 
 def stl_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark_dataset").select("ProgramID", T.stl_usage(F.col("Content")).alias("stl"))
+    return _programs(spark, sf_dir).select("ProgramID", T.stl_usage(F.col("Content")).alias("stl"))
 
 
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
