@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters handled by one numpy pass; keeps the temporaries of a Python worker in the tens of MB.
-GROUP_CHARS = 1_000_000
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; only where none is named (tests), a temporary one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    sc.setCheckpointDir(folder)
+from codeloom.lineage import checkpointed, spread
 
+__all__ = ["checkpointed", "keyed_texts", "spread", "text_groups"]
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: its lineage is cut and it outlives executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Characters handled by one numpy pass; keeps the temporaries of a Python worker in the tens of MB.
+GROUP_CHARS = 1_000_000
 
 
 def keyed_texts(df: DataFrame, key: str, text: str, key_type: str = "string") -> DataFrame:
@@ -40,16 +21,6 @@ def keyed_texts(df: DataFrame, key: str, text: str, key_type: str = "string") ->
     return df.select(F.col(f"`{key}`").cast(key_type).alias("k"), F.col(f"`{text}`").cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
 
 
-def small_tasks(df: DataFrame) -> DataFrame:
-    """Spread few large input splits over the cores. Cheap text columns go through one extra exchange only when
-    the scan has fewer splits than the cluster has cores."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(2 * cores)
-
-
 def text_groups(batches: Iterable[pa.RecordBatch], limit: int = GROUP_CHARS) -> Iterator[tuple[list, list[str]]]:
     """Keys and texts of the batches' first two columns, in groups of about ``limit`` characters."""
     keys, texts, size = [], [], 0

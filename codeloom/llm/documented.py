@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeloom.llm import cpp_lexer as X
-from codeloom.llm.common import keyed_texts, small_tasks, text_groups
+from codeloom.llm.common import keyed_texts, spread, text_groups
 from codeloom.llm.language import _CODE, CJK
 
 _TOKEN = re.compile(r"""(?P<pp>^[ \t]*\#(?:[^\n\\/]|\\(?:\r?\n|.)|/(?![/*]))*)|(?P<id>~?[A-Za-z_$\u0080-￿][\w$]*)|(?P<num>\d(?:[\w.]|'\w)*)|(?P<p>::|->|\[\[|[^\s\w])""", re.M)
@@ -314,4 +314,4 @@ def documented_functions(df: DataFrame, key: str, text: str, code: bool = True)
             columns = list(zip(*rows)) or [[]] * (3 + code)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=pa.string()) for c in columns], names=["k", "name", "description", "code"][: 3 + code])
 
-    return small_tasks(keyed_texts(df, key, text)).mapInArrow(run, "k string, name string, description string" + ", code string" * code)
+    return spread(keyed_texts(df, key, text)).mapInArrow(run, "k string, name string, description string" + ", code string" * code)

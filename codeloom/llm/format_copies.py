@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed, keyed_texts
+from codeloom.lineage import fenced
+from codeloom.llm.common import checkpointed, keyed_texts, spread
 
 MASK = (1 << 60) - 1
 #: Members of a group for each partition that its first record is sent to.
@@ -63,8 +64,7 @@ def fingerprints(parts: DataFrame) -> DataFrame:
         whole = F.xxhash64(F.lit(seed), F.lit("body"), "body").bitwiseAND(F.lit(MASK))
         total = (multiset("head", "head", seed) + multiset("includes", "include", seed)).bitwiseAND(F.lit(MASK))
         parts = parts.withColumn(i, (total + whole).bitwiseAND(F.lit(MASK)))
-    # Through a generator: filters on the sums, as joins infer them, are then not pushed below and computed again.
-    return parts.select("k", F.explode(F.array(F.struct("f1", "f2", "head", "includes", "body"))).alias("p")).select("k", "p.*")
+    return fenced(parts, ["k"], ["f1", "f2", "head", "includes", "body"])
 
 
 def same_multiset(a: str, b: str) -> Column:
@@ -74,7 +74,7 @@ def same_multiset(a: str, b: str) -> Column:
 
 def copies(df: DataFrame, key: str, text: str) -> DataFrame:
     """(first_id, copy_id) for every record, also (x, x) for the first record x of each set."""
-    parts = fingerprints(fields(keyed_texts(df, key, text)))
+    parts = fingerprints(fields(spread(keyed_texts(df, key, text))))
     groups = parts.groupBy("f1", "f2").agg(F.min("k").alias("first"), F.count("*").alias("n"))
     several = groups.where("n > 1").withColumn("salts", F.ceil(F.col("n") / MEMBERS_PER_SALT).cast("int"))
     members = checkpointed(parts.join(several, ["f1", "f2"]).withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int")))

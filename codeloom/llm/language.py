@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import cpp_lexer as X
-from codeloom.llm.common import checkpointed, keyed_texts, small_tasks, text_groups
+from codeloom.llm.common import checkpointed, keyed_texts, spread, text_groups
 
 BUCKETS = 1 << 15
 MAX_GRAM = 4
@@ -79,7 +79,7 @@ class Model:
         return self.labels[int(np.argmax(scores))]
 
     @classmethod
-    def train(cls, rows: list[tuple[str, str]], epochs: int = 8, rate: float = 4.0, batch: int = 256) -> "Model":
+    def train(cls, rows: list[tuple[str, str]], epochs: int = 5, rate: float = 4.0, batch: int = 256) -> "Model":
         """From (sentence, label) rows, by AdaGrad on shuffled mini-batches; classes weigh alike."""
         labels = sorted({y for _, y in rows})
         weights, bias = np.zeros((BUCKETS, len(labels)), dtype=np.float32), np.zeros(len(labels), dtype=np.float32)
@@ -111,9 +111,9 @@ class Model:
                 p = z / z.sum(axis=1, keepdims=True)
                 p[np.arange(len(ids)), ys[ids]] -= 1
                 p *= per_class[ys[ids]][:, None] / len(ids)
-                touched, inverse = np.unique(flat, return_inverse=True)
-                grad = np.zeros((len(touched), len(labels)), dtype=np.float32)
-                np.add.at(grad, inverse, np.repeat(p / sizes[:, None], sizes, axis=0).astype(np.float32))
+                by_bucket = np.argsort(flat, kind="stable")
+                touched, first = np.unique(flat[by_bucket], return_index=True)
+                grad = np.add.reduceat(np.repeat((p / sizes[:, None]).astype(np.float32), sizes, axis=0)[by_bucket], first, axis=0)
                 squares[touched] += grad * grad
                 weights[touched] -= rate * 0.1 * grad / np.sqrt(squares[touched])
                 bias -= 0.05 * rate * p.sum(axis=0).astype(np.float32)
@@ -211,7 +211,7 @@ def training_rows(labelled: list[tuple[str, str]], programs: list[str]) -> list[
     return rows
 
 
-def fit(programs: DataFrame, key: str, text: str, documents: DataFrame, doc_key: str, doc_text: str, doc_lang: str, max_train: int = 800) -> Model:
+def fit(programs: DataFrame, key: str, text: str, documents: DataFrame, doc_key: str, doc_text: str, doc_lang: str, max_train: int = 500) -> Model:
     """The model, from at most ``max_train`` labelled documents and ``max_train`` programs with kana."""
     docs = documents.where(F.col(f"`{doc_lang}`").isNotNull() & F.col(f"`{doc_text}`").isNotNull()).withColumnRenamed(doc_lang, "_lang")
     drawn = _drawn(docs, doc_key, doc_text, "_lang", max_train)
@@ -254,7 +254,7 @@ def chunk_states(docs: DataFrame, chunk_chars: int) -> DataFrame:
 def language_words(programs: DataFrame, key: str, text: str, model: Model, chunk_chars: int = 1_000_000) -> DataFrame:
     """(k, lang, n): words of sentences (zh, ja: characters) in each language."""
     shared = programs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.bias))
-    docs = small_tasks(keyed_texts(programs, key, text))
+    docs = spread(keyed_texts(programs, key, text))
     schema = "k string, lang string, n long"
     short = docs.where(F.length("t") <= chunk_chars).mapInArrow(_counter(shared, False), schema)
     long = docs.where(F.length("t") > chunk_chars)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import keyed_texts, small_tasks, text_groups
+from codeloom.llm.common import keyed_texts, spread, text_groups
 
 WORD = re.compile(r"[^\W_]+")
 #: Code points that are given to words: everything above the surrogates.
@@ -120,7 +120,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], words: int, spans: bool
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_texts: list[str], words: int = 20, spans: bool = False, block_chars: int = 20_000_000) -> DataFrame:
     """(k, item) for each document that holds ``words`` successive words of an item; with ``spans``, each passage
     with its start and end in the document's characters and its number of words."""
-    corpus = small_tasks(keyed_texts(docs, doc_key, doc_text, "long"))
+    corpus = spread(keyed_texts(docs, doc_key, doc_text, "long"))
     texts = None
     for column in item_texts:
         one = keyed_texts(items, item_key, column, "long")

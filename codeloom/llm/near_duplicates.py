@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import shingles
-from codeloom.llm.common import checkpointed, keyed_texts, small_tasks, text_groups
+from codeloom.llm.common import checkpointed, keyed_texts, spread, text_groups
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -118,7 +118,7 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, n:
     with the smallest key among the records of the same set."""
     docs = keyed_texts(df, key, text)
     bands = bands_for(threshold, rows, recall)
-    signed = checkpointed(small_tasks(docs).mapInArrow(signer(n, bands, rows), "k string, size long, f1 long, f2 long, bands array<long>"))
+    signed = checkpointed(spread(docs).mapInArrow(signer(n, bands, rows), "k string, size long, f1 long, f2 long, bands array<long>"))
     reps = signed.groupBy("f1", "f2", "size").agg(F.min_by(F.struct("k", "bands"), "k").alias("r"))
     reps = reps.select("f1", "f2", "size", F.col("r.k").alias("rep"), F.col("r.bands").alias("bands"))
     classes = signed.select("k", "f1", "f2", "size").join(reps.select("f1", "f2", "size", "rep"), ["f1", "f2", "size"]).select("k", "rep").distinct()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed, small_tasks
+from codeloom.llm.common import checkpointed, spread
 
 #: Fixed value: the published pattern that splits text before the merges of these vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -57,7 +57,7 @@ def counter(path: str):
 def token_counts(df: DataFrame, key: str, text: str, source: str, vocabulary: str) -> DataFrame:
     """(k, source, n) for every row with a key."""
     rows = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"), F.col(f"`{text}`").cast("string").alias("t")).where("k is not null")
-    return small_tasks(rows).mapInArrow(counter(vocabulary), "k long, source string, n long")
+    return spread(rows).mapInArrow(counter(vocabulary), "k long, source string, n long")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:

@@ -29,15 +29,18 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import spread
+
 PERCENTS = (5.0, 25.0, 50.0, 75.0, 95.0, 99.0)
 
 
 def deduplicate(df: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` of the rows, rows that are equal in every column of ``df`` once. Two 64-bit hashes stand for the columns
     that are not kept, so that the shuffle carries no wide rows."""
+    df = spread(df)
     every = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0null")) for c in df.columns]
-    hashed = df.select(*keep, F.xxhash64(*every).alias("_h1"), F.xxhash64(F.lit(7), *reversed(every)).alias("_h2"))
-    return hashed.groupBy("_h1", "_h2").agg(*[F.first(c).alias(c) for c in keep]).drop("_h1", "_h2")
+    hashed = df.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(*every).alias("_h1"), F.xxhash64(F.lit(7), *reversed(every)).alias("_h2"))
+    return hashed.groupBy("_h1", "_h2").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in keep]).drop("_h1", "_h2")
 
 
 def measurements(df: DataFrame, group: str, metrics: list[str]) -> DataFrame:

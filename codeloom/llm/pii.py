@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed, keyed_texts, small_tasks, text_groups
+from codeloom.llm.common import checkpointed, keyed_texts, spread, text_groups
 
 TYPES = ("email", "address", "id_number", "phone", "person")
 
@@ -365,7 +365,7 @@ ID_LABELS = r"(?i)(passport|reisepass|passeport|pasaporte|passaporte|паспо
 
 def detect(df: DataFrame, key: str, text: str, rounds: int = 3) -> DataFrame:
     """(k, type, start, end, item): every item found, without overlaps."""
-    docs = small_tasks(keyed_texts(df, key, text, "long"))
+    docs = spread(keyed_texts(df, key, text, "long"))
     first = checkpointed(docs.mapInArrow(_first_pass, _MENTION))
     known, patterns = learn(first, rounds)
     bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)

@@ -480,7 +480,7 @@ class Parser:
         self.ternary()
         if self.word("as"):
             kind = self.star_target()
-            self.check_target(kind, False)
+            self.check_target(kind, True)
 
     def _parenthesised_items(self) -> None:
         self.need("(")
@@ -588,8 +588,7 @@ class Parser:
         start, errors = self.at, len(self.errors)
         try:
             self.at += 1
-            if not self.attempt(self._named_subject):
-                self.star_expressions()
+            self._subject()
             self.need(":")
             if self.kinds[self.at] != "nl" or self.kinds[self.at + 1] != "in" or self.texts[self.at + 2] != "case":
                 self.fail()
@@ -609,19 +608,31 @@ class Parser:
             self.fail()
         return True
 
-    def _named_subject(self) -> None:
-        self.named()
-        if not self.is_op(":"):
+    def _subject(self) -> None:
+        kind, comma = self.star_expression(True), False
+        while self.op(","):
+            comma = True
+            if self.is_op(":"):
+                break
+            self.star_expression(True)
+        if kind == "star" and not comma:
             self.fail()
 
     def patterns(self) -> None:
+        star = comma = False
         while True:
             if self.op("*"):
                 self.name()
+                star = True
             else:
                 self.pattern()
-            if not self.op(",") or self.is_op(":") or self.is_word("if"):
-                return
+            if not self.op(","):
+                break
+            comma = True
+            if self.is_op(":", ")") or self.is_word("if"):
+                break
+        if star and not comma:
+            self.fail()
 
     def pattern(self) -> None:
         while True:
@@ -651,14 +662,17 @@ class Parser:
                 if self.op("**"):
                     self.name()
                 else:
-                    self.binary(1)
+                    if self.kinds[self.at] == "num" or self.is_op("-"):
+                        self._number_pattern()
+                    else:
+                        self.postfix()
                     self.need(":")
                     self.pattern()
                 if not self.op(","):
                     break
             self.need("}")
         elif self.kinds[self.at] == "num" or self.is_op("-"):
-            self.binary(1)
+            self._number_pattern()
         elif self.kinds[self.at] == "str":
             self.atom()
         elif self.is_word("None", "True", "False"):
@@ -676,6 +690,17 @@ class Parser:
                         break
                 self.need(")")
 
+    def _number_pattern(self) -> None:
+        """A number with a sign, or a complex one."""
+        self.op("-")
+        for last in (False, True):
+            if self.kinds[self.at] != "num":
+                self.fail()
+            self.at += 1
+            if last or not self.is_op("+", "-"):
+                return
+            self.at += 1
+
     def simple(self) -> None:
         t = self.texts[self.at] if self.kinds[self.at] == "name" else ""
         if t in ("pass", "break", "continue"):
@@ -772,8 +797,6 @@ class Parser:
             if self.op("="):
                 self.star_expressions(True)
             return
-        if kind == "star":
-            self.fail("can't use starred expression here")
 
     def check_target(self, kind: str, star: bool, verb: str = "assign to") -> None:
         kind = kind.removeprefix("paren-")

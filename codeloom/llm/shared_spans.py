@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import shingles
-from codeloom.llm.common import checkpointed, keyed_texts, small_tasks, text_groups
+from codeloom.llm.common import checkpointed, keyed_texts, spread, text_groups
 
 
 def sliding_min(h: np.ndarray, t: int) -> np.ndarray:
@@ -105,7 +105,7 @@ def verifier(length: int, spans: bool):
 def _verified(df: DataFrame, key: str, text: str, length: int, q: int | None, spans: bool) -> DataFrame:
     q = q or max(1, length * 8 // 15)
     docs = keyed_texts(df, key, text)
-    rows = small_tasks(docs).mapInArrow(windows(length, q), "k string, sig long").repartition("sig")
+    rows = spread(docs).mapInArrow(windows(length, q), "k string, sig long").repartition("sig")
     met = rows.alias("x").join(rows.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.k") < F.col("y.k")))
     pairs = checkpointed(met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()

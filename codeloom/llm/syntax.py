@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import cpp_parser, py_parser
-from codeloom.llm.common import keyed_texts, small_tasks, text_groups
+from codeloom.llm.common import keyed_texts, spread, text_groups
 
 #: What the extensions promise.
 CPP_EXTENSIONS = ("cpp", "cc", "cxx", "c++", "hpp", "hh", "hxx", "h++", "h", "ipp", "inl")
@@ -68,7 +68,7 @@ def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def parsed(df: DataFrame, path: str, text: str) -> DataFrame:
     """(path, language, errors, first_line, first_cause, fails) of every file."""
-    rows = small_tasks(keyed_texts(df, path, text)).mapInArrow(_deep, "path string, language string, errors array<struct<line:int,message:string>>")
+    rows = spread(keyed_texts(df, path, text)).mapInArrow(_deep, "path string, language string, errors array<struct<line:int,message:string>>")
     return rows.select("path", "language", "errors", F.get("errors", F.lit(0))["line"].alias("first_line"), F.get("errors", F.lit(0))["message"].alias("first_cause"), (F.size("errors") > 0).alias("fails"))
 
 
