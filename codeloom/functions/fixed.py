@@ -75,3 +75,14 @@ NESTED_ARRAY_SIZE = 3
 MAX_COMPACT_FAILURES = 8
 MAX_DETAILED_FAILURES = 10
 ROLLING_WINDOW = 20
+
+#: What a program reads: declarations, scalar reads, element reads, cell reads, loops with their bound.
+READ_DECLARATION = r"\b(int|long\s+long|long|short|float|double|char|string)\s+([a-zA-Z_]\w*(?:\s*\[[^\]]*\])?\s*(?:,|;|=|$))"
+READ_SCALARS = r"cin\s*>>\s*([a-zA-Z_]\w*(?:\s*>>\s*[a-zA-Z_]\w*)*)\s*;"
+READ_ELEMENT = r"cin\s*>>\s*([a-zA-Z_]\w*)\s*\[\s*[a-zA-Z_]\w*\s*\]"
+READ_CELL = r"cin\s*>>\s*([a-zA-Z_]\w*)\s*\[\s*[a-zA-Z_]\w*\s*\]\s*\[\s*[a-zA-Z_]\w*\s*\]"
+READ_LOOP = r"for\s*\([^;]*;\s*([a-zA-Z_]\w*)\s*<\s*([a-zA-Z_]\w*)\s*;[^)]*\)"
+STRATEGIES = ("random", "boundary", "edge", "heuristic")
+EDGE_NUMBERS = ("0", "-1", "999999999", "-999999999")
+HEURISTIC_MODES = ("boundary", "zero", "small", "random")
+SMALL_REACH, RANDOM_REACH, REAL_REACH, TEXT_REACH = 100, 10_000, 1000.0, 1000
