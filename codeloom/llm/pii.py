@@ -25,9 +25,8 @@ one row of ``found``; a repeated key is treated as one text after the other.
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 import zlib
+from functools import cache
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +60,7 @@ _HOST = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _DOT = r"(?:\.|[ \t]*[\[({][ \t]*(?:dot|DOT|Dot)[ \t]*[\])}][ \t]*|[ \t]+(?:DOT|dot)[ \t]+)"
 #: Mail addresses are looked for at what stands for their "@", to the left and to the right.
 AT_SIGN = re.compile(r"@|[\[({][ \t]*(?:at|AT|At|@)[ \t]*[\])}]| AT | at (?=[ \t]*[A-Za-z0-9.-]+[ \t]+dot[ \t])")
+AT_BRACKET = re.compile(r"[\[({][ \t]*(?:at|AT|At)[ \t]*[\])}]")
 LOCAL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*\w)?[ \t]*\Z", re.A)
 HOST = re.compile(rf"[ \t]*{_HOST}(?:{_DOT}{_HOST})+(?![\w@-])")
 MAX_LOCAL = 80
@@ -89,6 +89,24 @@ ADDRESSES = [
     (["улица", "проспект", "переулок", "набережная"], rf"(?<!\w)(?:улица|проспект|переулок|набережная){_S}{_STREET_NAME},?{_S}(?:д\.{_S}?|дом{_S})?{_HOUSE}"),
 ]
 ADDRESSES = [(words, re.compile("(?:" + "|".join(map(re.escape, words)) + ")" + r"(?!\w)" * words[0].startswith(" ")), re.compile(form)) for words, form in ADDRESSES]
+
+
+@cache
+def _street_words():
+    """One automaton over the words of all address forms; its values are the numbers of the forms."""
+    import ahocorasick
+
+    forms: dict[str, set[int]] = {}
+    for i, (words, _, _) in enumerate(ADDRESSES):
+        for w in words:
+            forms.setdefault(w, set()).add(i)
+    automaton = ahocorasick.Automaton()
+    for w, of in forms.items():
+        automaton.add_word(w, tuple(of))
+    automaton.make_automaton()
+    return automaton
+
+
 #: How far a form reaches to each side of its word.
 ADDRESS_REACH = 120
 
@@ -146,6 +164,9 @@ def contexts(text: str, start: int, end: int) -> tuple[str, str]:
 
 def emails(text: str) -> list[tuple[int, int]]:
     out = []
+    # The pattern has to look at every blank; most texts have none of what it can find.
+    if "@" not in text and " AT " not in text and " dot " not in text and not AT_BRACKET.search(text):
+        return out
     for at in AT_SIGN.finditer(text):
         from_ = max(0, at.start() - MAX_LOCAL)
         local = LOCAL.search(text, from_, at.start())
@@ -175,9 +196,8 @@ def fixed_forms(text: str) -> list[tuple[str, int, int, bool]]:
 
     for a, b in emails(text):
         put("email", a, b)
-    for words, word, form in ADDRESSES:
-        if not any(w in text for w in words):
-            continue
+    for i in sorted({i for _, of in _street_words().iter(text) for i in of}):
+        _, word, form = ADDRESSES[i]
         at = 0
         while w := word.search(text, at):
             at = w.end()
@@ -290,23 +310,26 @@ def _second_pass(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, dtype=np.uint8)
-        seen: dict[str, bool] = {}
         word, pair = re.compile(rf"(?<![\w–@.+/-]){_WORDS}"), re.compile(_PAIR)
         before = re.compile(rf"(?<![\w–@.+/-])(?P<a>{_WORDS}),?(?:{_S}[{UP}{LOW}]\.)?{_S}\Z")
         plain = re.compile(_WORDS).findall
 
+        unknown: set[str] = set()
+
         def known(w: str) -> bool:
-            got = seen.get(w)
-            if got is None:
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                got = seen[w] = len(w) > 1 and all(in_bloom(bits, p) for p in parts_of(w))
-            return got
+            if w in unknown:
+                return False
+            if len(w) > 1 and all(in_bloom(bits, p) for p in parts_of(w)):
+                return True
+            if len(unknown) > 1_000_000:
+                unknown.clear()
+            unknown.add(w)
+            return False
 
         for keys, texts in text_groups(batches):
             rows = []
             for k, t in zip(keys, texts):
-                if not any(map(known, set(plain(t)))):
+                if not any([known(w) for w in set(plain(t)) - unknown]):
                     continue
                 spans = [(a, b) for _, a, b, sure in fixed_forms(t) if sure]
                 done = set()
