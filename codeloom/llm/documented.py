@@ -13,6 +13,7 @@ a file of its own; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,8 +51,9 @@ class _Parser:
         self.text = text
         spans, _ = X.lex(text, braces=True)
         self.comments: list[tuple[int, int]] = []
+        self.last_kind = ""
         self.braces: list[tuple[str, int]] = []
-        self.spans = [s for s in spans if s[0] not in "{}" or s[0] == ""]
+        self.spans = [s for s in spans if s[0] not in ("{", "}")]
         self.starts = [s[1] for s in self.spans]
         for kind, a, b in spans:
             if kind in (X.LINE, X.BLOCK):
@@ -72,7 +74,7 @@ class _Parser:
         line = self.text.rfind("\n", 0, a) + 1
         if self.text[line:a].strip():
             return
-        if kind == X.LINE and self.comments and self.last_kind == X.LINE:
+        if kind == X.LINE and self.last_kind == X.LINE:
             start, end = self.comments[-1]
             between = self.text[end:a]
             if not between.strip() and between.count("\n") == 1:
@@ -84,8 +86,6 @@ class _Parser:
     def tokens(self, start: int, end: int) -> Iterator[tuple[str, str, int, int]]:
         """(kind, text, start, end) of the tokens outside comments; literals are one token. The consumer may send a
         position to go on from."""
-        from bisect import bisect_left
-
         at, i = start, bisect_left(self.starts, start)
         match = _TOKEN.search
         while at < end:
@@ -238,18 +238,12 @@ class _Parser:
                         if head[end][0] == "id":  # a macro call before the head
                             continue
                         return None
-                    if j - 1 == i and ":" not in tail and not self._lone_name_allowed(words, i):
-                        pass
                     return words[j - 1]
                 depth += 1
             elif w == ")":
                 depth -= 1
         return None
 
-    @staticmethod
-    def _lone_name_allowed(words: list[str], i: int) -> bool:
-        return True
-
     def above(self, start: int) -> tuple[int, int] | None:
         """The comment that ends on the line above."""
         line = self.text.rfind("\n", 0, start) + 1
