@@ -207,8 +207,7 @@ _CLEAN = f"regexp_replace(regexp_replace({{0}}, {_q(X.BLOCK_COMMENT)}, ' ', 'gs'
 _BLANK = f"regexp_replace({{0}}, {_q(X.STRING_LITERAL)}, '\"\"', 'g')"
 _N = lambda c, p, o="": f"len(regexp_extract_all({c}, {_q((f'(?{o})' if o else '') + p)}))"
 
-_LINES = f"""
-WITH p AS ({_PROGRAMS}),
+_LINE_TAIL = f"""
 l AS (SELECT ProgramID, array_to_string(list_transform(list_transform(string_split(t, chr(10)), lambda x: trim(x, {_SPACE})), lambda x: CASE
     WHEN x = '' THEN 'b'
     WHEN starts_with(x, '//') AND contains(x, '*/') THEN 'S'
@@ -222,6 +221,7 @@ line_counts AS (SELECT ProgramID, length(codes) AS total, length(regexp_replace(
   length(regexp_replace(codes, '[^b]', '', 'g')) AS blank,
   length(codes) - length(regexp_replace(codes, '[^b]', '', 'g')) - length(regexp_replace(outside, '[^xE]', '', 'g')) AS comments FROM r)
 """
+_LINES = f"WITH p AS ({_PROGRAMS}),{_LINE_TAIL}"
 
 _SRC = f"""
 src AS (SELECT OriginalPath AS path, File, Category, Repository, Content AS raw, {_TEXT.format('Content')} AS t FROM raw_sources
@@ -261,19 +261,20 @@ _COUNTS = {
     "includes": _N("c", X.INCLUDE, "m"),
     "returns": _N("c", X.RETURN),
 }
-_DEPTH = """
-, ch AS (SELECT ProgramID, unnest(string_split(b, '')) AS x, generate_subscripts(string_split(b, ''), 1) AS i FROM (SELECT ProgramID, regexp_replace(c, '[^{}]', '', 'g') AS b FROM k)),
-s AS (SELECT ProgramID, sum(CASE x WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER (PARTITION BY ProgramID ORDER BY i) AS d FROM ch)
-SELECT k.ProgramID, greatest(0, coalesce(max(d), 0))::INT AS depth FROM k LEFT JOIN s USING (ProgramID) GROUP BY ALL
+_DEPTH_TAIL = """
+ch AS (SELECT ProgramID, unnest(string_split(b, '')) AS x, generate_subscripts(string_split(b, ''), 1) AS i FROM (SELECT ProgramID, regexp_replace(c, '[^{}]', '', 'g') AS b FROM k)),
+s AS (SELECT ProgramID, sum(CASE x WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER (PARTITION BY ProgramID ORDER BY i) AS d FROM ch),
+depths AS (SELECT k.ProgramID, greatest(0, coalesce(max(d), 0))::INT AS depth FROM k LEFT JOIN s USING (ProgramID) GROUP BY ALL)
 """
+_STL = "coalesce(nullif(array_to_string(list_filter([" + ", ".join(map(_q, sorted(X.STL_TOKENS))) + "], lambda w: contains(lower({0}), w)), ', '), ''), 'none')"
 _CLEANED = f"WITH k AS (SELECT ProgramID, {_CLEAN.format('t')} AS c FROM ({_PROGRAMS}))"
 
 SQL = {
     "line_counts": _LINES + "SELECT * FROM line_counts",
     "structure_counts": _CLEANED + "SELECT ProgramID, " + ", ".join(f"{s} AS {n}" for n, s in _COUNTS.items()) + " FROM k",
     "complexity": _CLEANED + f"SELECT ProgramID, 1 + {_N('c', X.DECISION_NO_CASE)} AS complexity FROM k",
-    "nesting_depth": _CLEANED + _DEPTH,
-    "stl_usage": "SELECT ProgramID, coalesce(nullif(array_to_string(list_filter([" + ", ".join(map(_q, sorted(X.STL_TOKENS))) + "], lambda w: contains(lower(Content), w)), ', '), ''), 'none') AS stl FROM benchmark_dataset",
+    "nesting_depth": f"{_CLEANED},{_DEPTH_TAIL} SELECT * FROM depths",
+    "stl_usage": f"SELECT ProgramID, {_STL.format('Content')} AS stl FROM benchmark_dataset",
     "content_hashes": f"SELECT OriginalPath, sha256(Content) AS sha, octet_length(encode(Content)) AS bytes, octet_length(encode({_TEXT.format('Content')})) AS text_bytes FROM raw_sources",
     "entry_points": f"WITH {_SRC} SELECT path, has_main FROM marked",
     "test_frameworks": f"WITH {_SRC} SELECT path, framework FROM marked",
@@ -300,6 +301,10 @@ SQL = {
       hit AS (SELECT ProgramID, coalesce(min(File) FILTER (name = Filename), min(File)) AS File FROM wanted LEFT JOIN raw USING (sha) GROUP BY ProgramID),
       named AS (SELECT ProgramID, coalesce(File, 'unknown') AS OriginalPath, CASE WHEN len(string_split(File, '/')) > 1 THEN string_split(File, '/')[1] ELSE 'unknown' END AS Category, CASE WHEN len(string_split(File, '/')) > 2 THEN string_split(File, '/')[2] ELSE 'unknown' END AS Repository FROM hit)
       SELECT ProgramID, OriginalPath, Category, Repository, coalesce(RepositoryURL, 'unknown') AS GitHubURL FROM named LEFT JOIN repository_statistics ON RepositoryName = Repository""",
+    "metadata": f"""WITH {_SRC}, p AS (SELECT path AS ProgramID, t FROM src), {_LINE_TAIL}, k AS (SELECT path AS ProgramID, stripped AS c, t FROM strip), {_DEPTH_TAIL}
+      SELECT u.path, f.Category, f.Repository, n.total AS total_lines, n.code AS code_lines, n.blank AS blank_lines, n.comments AS comment_lines, {", ".join(f"{q} AS {n}" for n, q in _COUNTS.items())},
+      1 + {_N("c", X.DECISION_NO_CASE)} AS complexity, d.depth AS nesting_depth, {_STL.format("k.t")} AS stl_usage, u.sha, coalesce(l.program_type, 'unknown') AS program_type, coalesce(l.program_type = 'executable', false) AS compile_eligible, coalesce(v.status, 'FAIL') AS status, coalesce(v.seconds, 0.0) AS seconds
+      FROM uniq u JOIN src f ON f.path = u.path JOIN k ON k.ProgramID = u.path JOIN line_counts n ON n.ProgramID = u.path JOIN depths d ON d.ProgramID = u.path LEFT JOIN classes l ON l.path = u.path LEFT JOIN verdicts v ON v.path = u.path""",
     "dataset_summary": _LINES + "SELECT count(*) AS programs, round(coalesce(avg(CASE WHEN code > 0 THEN code END), 0.0), 6) AS avg_code, coalesce(max(CASE WHEN code > 0 THEN code END), 0) AS max_code FROM line_counts",
     "loc_histogram": _LINES + "SELECT (code // 50)::BIGINT AS bin, count(*) AS programs FROM line_counts GROUP BY 1",
     "dataset_distribution": "SELECT coalesce(Category, 'unknown') AS category, count(*) AS programs, sum(FileSizeBytes)::BIGINT AS bytes FROM benchmark_dataset GROUP BY 1",
