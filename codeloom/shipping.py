@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import zipfile
@@ -12,6 +14,11 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+def _remove(name: str) -> None:
+    with contextlib.suppress(OSError):
+        os.unlink(name)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Add the package to the workers' path, once per application: they need not share the driver's file system."""
     sc = spark.sparkContext
@@ -24,4 +31,6 @@ def ship_package(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(name)
+    # Executors that join later fetch it, too, so it stays until the driver ends.
+    atexit.register(_remove, name)
     _SHIPPED.add(sc.applicationId)
