@@ -2,7 +2,9 @@
 
 Comments and string literals are found by ``cpp_lexer``. Files longer than ``chunk_chars`` are cut into chunks; each
 chunk's map from lexer states to lexer states is computed on its own, a prefix scan over the maps tells each chunk the
-state it starts in, and the chunks are then lexed side by side. Files of one chunk start in code and need no scan.
+state it starts in, and the chunks are then lexed side by side. Comments and literals that cross the border of chunks, or may go on
+beyond it, are put together again before they are read, so that the result is that of the whole file. Files of one chunk
+start in code and need no scan.
 
 Sentences of the spans are labelled by a multinomial logistic regression on hashed character n-grams of words. It is
 trained here, at most on ``max_train`` labelled documents and as many programs, drawn by a hash of their keys. The
@@ -17,11 +19,13 @@ are added up; without any training rows there are no labels and no rows.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,51 +156,55 @@ def sentences(text: str) -> Iterator[tuple[str, int]]:
             yield s, words
 
 
-def paragraphs(text: str, state: str = X.CODE) -> Iterator[str]:
-    """The prose of the comments and literals of a chunk. Line comments on successive lines, and literals that
-    are written next to each other, belong together."""
-    spans, _ = X.lex(text, state)
-    held: list[str] = []
-    kind_held, end_held = "", -1
-    for kind, start, end in [*spans, ("", len(text), len(text))]:
-        kind = X.STRING if kind == "R" else kind
-        if held and not (kind == kind_held and kind in (X.LINE, X.STRING) and not text[end_held:start].strip() and (kind == X.STRING or text.count("\n", end_held, start) == 1)):
-            if kind_held == X.STRING:
-                literal = _FORMAT.sub(" ", "".join(held))
-                yield prose_lines(literal.replace("\r", "\n").split("\n"))
-            else:
-                yield prose_lines(line for c in held for line in X.comment_lines(c))
+def groups(text: str, spans: Iterable[tuple[str, int, int]]) -> Iterator[list[tuple[str, int, int]]]:
+    """Comments and literals that belong together: line comments on successive lines, and literals that are written next to
+    each other. Any other stands alone."""
+    held: list[tuple[str, int, int]] = []
+    for span in spans:
+        if held and not _joined(text, held[-1], span):
+            yield held
             held = []
-        if kind in (X.LINE, X.BLOCK):
-            held.append(text[start:end])
-        elif kind == X.STRING:
-            held.append(X.printed(_literal_kind(text, start, end), text[start:end]))
-        else:
+        held.append(span)
+    if held:
+        yield held
+
+
+def _joined(text: str, last: tuple[str, int, int], span: tuple[str, int, int]) -> bool:
+    a, b = (X.STRING if kind == "R" else kind for kind in (last[0], span[0]))
+    gap = text[last[2] : span[1]]
+    return a == b and a in (X.LINE, X.STRING) and not gap.strip() and (a == X.STRING or gap.count("\n") == 1)
+
+
+def paragraphs(text: str) -> Iterator[str]:
+    """The prose of the comments and literals of a text that starts in code."""
+    for held in groups(text, X.lex(text)[0]):
+        if held[0][0] == X.CHAR:
             continue
-        kind_held, end_held = kind, end
+        if held[0][0] in (X.STRING, "R"):
+            literal = _FORMAT.sub(" ", "".join(X.printed(_literal_kind(text, a, b), text[a:b]) for _, a, b in held))
+            yield prose_lines(literal.replace("\r", "\n").split("\n"))
+        else:
+            yield prose_lines(line for _, a, b in held for line in X.comment_lines(text[a:b]))
 
 
 def _literal_kind(text: str, start: int, end: int) -> str:
     return "R" if text[start - 1 : start] == "R" and text[end - 2 : end - 1] == ")" else X.STRING
 
 
-def count_words(model: Model, text: str, state: str = X.CODE) -> Counter:
+def count_words(model: Model, text: str) -> Counter:
     out: Counter = Counter()
-    for p in paragraphs(text, state):
+    for p in paragraphs(text):
         for s, n in sentences(p):
             if label := model.label(s):
                 out[label] += n
     return out
 
 
-def _counter(shared, with_state: bool):
+def _counter(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for batch in batches:
-            states = batch.column(2).to_pylist() if with_state else None
-            rows = []
-            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                rows += [(k, lang, n) for lang, n in count_words(model, t, states[i] if states else X.CODE).items()]
+            rows = [(k, lang, n) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for lang, n in count_words(model, t).items()]
             columns = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.string()), pa.array(columns[1], type=pa.string()), pa.array(columns[2], type=pa.int64())], names=["k", "lang", "n"])
 
@@ -227,28 +235,76 @@ def _drawn(df: DataFrame, key: str, text: str, label: str, n: int) -> list[tuple
     return [(r.t, r.l) for r in rows.where(F.col("h") <= max(least)).limit(n).collect()] if least else []
 
 
-def chunk_states(docs: DataFrame, chunk_chars: int) -> DataFrame:
-    """(k, t, state): the chunks of long files with the lexer state each starts in."""
+def borders(text: str, state: str) -> tuple[int, int]:
+    """(h, t): text[:h] may belong to what the chunk before ends with, text[t:] to what the next one starts with, and text[h:t]
+    stands alone, from code to code. (-1, -1) if the chunk may be the middle of something longer."""
+    n = len(text)
+    spans, after = X.lex(text, state)
+    runs = list(groups(text, spans))
+    if not runs:
+        return (-1, -1) if not spans and not text.strip() else (0, n)
+    (kind, start, _), end = runs[0][0], runs[0][-1][2]
+    left = state != X.CODE or (kind not in (X.BLOCK, X.CHAR) and not text[:start].strip())
+    last, begin = runs[-1][-1], runs[-1][0][1]
+    right = after != X.CODE or (last[0] not in (X.BLOCK, X.CHAR) and not text[last[2] :].strip())
+    if left and right and len(runs) == 1:
+        return -1, -1
+    # A raw string is none without its prefix.
+    return end if left else 0, begin - (runs[-1][0][0] == "R") if right else n
+
+
+def closed_pieces(docs: DataFrame, chunk_chars: int) -> DataFrame:
+    """(k, t, at): long files in pieces that start and end in code and cut no comment, literal, or run of them; ``at`` is the
+    piece's place in the file. What crosses the borders of chunks is put together again."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_groups(batches):
-            rows = [(k, i, c, sorted(set(X.RAW_DELIMITERS.findall(t)))) for k, t in zip(keys, texts) for i, c in enumerate(X.chunks(t, chunk_chars))]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(columns[0]), type=pa.string()), pa.array(list(columns[1]), type=pa.int32()), pa.array(list(columns[2]), type=pa.string()), pa.array(list(columns[3]), type=pa.list_(pa.string()))], names=["k", "i", "t", "d"])
+            rows = []
+            for k, t in zip(keys, texts):
+                file, at, delimiters = uuid.uuid4().hex, 0, sorted(set(X.RAW_DELIMITERS.findall(t)))  # keys may repeat
+                for i, c in enumerate(X.chunks(t, chunk_chars)):
+                    rows.append((k, file, i, at, c, delimiters))
+                    at += len(c)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=kind) for c, kind in zip(list(zip(*rows)) or [[]] * 6, [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string())])], names=["k", "file", "i", "at", "t", "d"])
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [list(X.transitions(t, d).items()) for t, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, type=pa.map_(pa.string(), pa.string()))], names=["k", "i", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, type=pa.map_(pa.string(), pa.string()))], names=["file", "i", "m"])
 
     def scan(pdf):
         pdf = pdf.sort_values("i")
         pdf["state"] = X.entry_states([dict(m) for m in pdf["m"]])
-        return pdf[["k", "i", "state"]]
+        return pdf[["file", "i", "state"]]
 
-    pieces = checkpointed(docs.mapInArrow(cut, "k string, i int, t string, d array<string>"))
-    states = pieces.mapInArrow(maps, "k string, i int, m map<string,string>").groupBy("k").applyInPandas(scan, "k string, i int, state string")
-    return pieces.join(states, ["k", "i"]).select("k", "t", "state")
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, file, i, at, t, state in zip(*(c.to_pylist() for c in batch.columns)):
+                h, e = borders(t, state)
+                if h < 0:
+                    rows.append((k, file, i, at, "through", t))
+                else:
+                    rows += [(k, file, i, at, "head", t[:h]), (k, file, i, at + h, "inner", t[h:e]), (k, file, i, at + e, "tail", t[e:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=kind) for c, kind in zip(list(zip(*rows)) or [[]] * 6, [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()])], names=["k", "file", "i", "at", "role", "t"])
+
+    def join(pdf):
+        rows, held, begin = [], [], 0
+        for k, role, at, t in pdf.sort_values(["i", "at", "role"])[["k", "role", "at", "t"]].itertuples(index=False):
+            begin = begin if held else at
+            held.append(t)
+            if role == "head":
+                rows.append((k, "".join(held), begin))
+                held = []
+        if held:
+            rows.append((k, "".join(held), begin))
+        return pd.DataFrame([r for r in rows if r[1]], columns=["k", "t", "at"])
+
+    pieces = checkpointed(docs.mapInArrow(cut, "k string, file string, i int, at long, t string, d array<string>"))
+    states = pieces.select("file", "i", "t", "d").mapInArrow(maps, "file string, i int, m map<string,string>").groupBy("file").applyInPandas(scan, "file string, i int, state string")
+    parts = checkpointed(pieces.join(states, ["file", "i"]).select("k", "file", "i", "at", "t", "state").mapInArrow(part, "k string, file string, i int, at long, role string, t string"))
+    seams = parts.where("role <> 'inner'").groupBy("file").applyInPandas(join, "k string, t string, at long")
+    return parts.where("role = 'inner' and t <> ''").select("k", "t", "at").unionByName(seams)
 
 
 def language_words(programs: DataFrame, key: str, text: str, model: Model, chunk_chars: int = 1_000_000) -> DataFrame:
@@ -256,10 +312,10 @@ def language_words(programs: DataFrame, key: str, text: str, model: Model, chunk
     shared = programs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.bias))
     docs = spread(keyed_texts(programs, key, text))
     schema = "k string, lang string, n long"
-    short = docs.where(F.length("t") <= chunk_chars).mapInArrow(_counter(shared, False), schema)
+    short = docs.where(F.length("t") <= chunk_chars).mapInArrow(_counter(shared), schema)
     long = docs.where(F.length("t") > chunk_chars)
     if not long.isEmpty():
-        short = short.unionByName(chunk_states(long, chunk_chars).mapInArrow(_counter(shared, True), schema))
+        short = short.unionByName(closed_pieces(long, chunk_chars).mapInArrow(_counter(shared), schema))
     return short.groupBy("k", "lang").agg(F.sum("n").alias("n"))
 
 

@@ -217,6 +217,42 @@ def test_language_tables(spark):
     assert language.language_words(programs.limit(0), "id", "c", language.Model.train([])).count() == 0
 
 
+def test_chunks_keep_open_literals(spark):
+    """Raw and spliced strings, and comments, that cross chunk borders give the prose of the whole file."""
+    prose = [SENTENCES[x] for x in ("de", "fr", "zh", "es")]
+    raw = 'auto s = u8R"x(\n' + "\n".join(p + ' "q" ' for p in prose * 4) + '\n)x" ;\n'
+    spliced = 'auto t = "' + " \\\n".join(prose * 4) + '";\n'
+    block = "/* " + "\n * ".join(prose * 4) + " */\nint x;\n"
+    lines = "\n".join("// " + w for p in prose * 4 for w in p.split()) + "\nint y = 1'000;\n"
+    beside = "puts(" + "\n".join(f'"{w} "' for p in prose * 4 for w in p.split()) + ");\n"
+    texts = [raw, spliced, block, lines, beside, "int z;\n" * 60 + raw + lines + spliced + beside + block + raw, raw[:-9]]
+    rows = [(f"r{i}", t) for i, t in enumerate(texts)] + [("r0", spliced)]
+    df = table(spark, rows, "id string, c string")
+    model = trained()
+    words = lambda n: {(r.k, r.lang): r.n for r in language.language_words(df, "id", "c", model, chunk_chars=n).collect()}
+    assert words(200) == words(1_000_000)
+    pieces = language.closed_pieces(df.selectExpr("id as k", "c as t"), 200).where("k = 'r5'").collect()
+    assert len(pieces) > 3 and all(texts[5][r.at : r.at + len(r.t)] == r.t for r in pieces)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(['"', "'", "\\", "\n", "\n", "//", "/*", "*/", 'R"x(', ')x"', " ein gutes Wort hier.", " ", ";"]), max_size=40).map("".join), st.integers(1, 12))
+def test_borders_cut_no_paragraph(text, size):
+    pieces = X.chunks(text, size)
+    states = X.entry_states([X.transitions(p, set(X.RAW_DELIMITERS.findall(text))) for p in pieces])
+    closed, held = [], ""
+    for p, s in zip(pieces, states):
+        h, t = language.borders(p, s)
+        if h < 0:
+            held += p
+        else:
+            closed += [held + p[:h], p[h:t]]
+            held = p[t:]
+    closed.append(held)
+    assert "".join(closed) == text
+    assert [p for c in closed for p in language.paragraphs(c)] == list(language.paragraphs(text))
+
+
 # --- P10
 
 
