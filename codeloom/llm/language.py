@@ -175,28 +175,40 @@ def _joined(text: str, last: tuple[str, int, int], span: tuple[str, int, int]) -
     return a == b and a in (X.LINE, X.STRING) and not gap.strip() and (a == X.STRING or gap.count("\n") == 1)
 
 
-def paragraphs(text: str) -> Iterator[str]:
-    """The prose of the comments and literals of a text that starts in code."""
+def placed_paragraphs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, prose) of the comments and literals of a text that starts in code."""
     for held in groups(text, X.lex(text)[0]):
         if held[0][0] == X.CHAR:
             continue
         if held[0][0] in (X.STRING, "R"):
             literal = _FORMAT.sub(" ", "".join(X.printed(_literal_kind(text, a, b), text[a:b]) for _, a, b in held))
-            yield prose_lines(literal.replace("\r", "\n").split("\n"))
+            prose = prose_lines(literal.replace("\r", "\n").split("\n"))
         else:
-            yield prose_lines(line for _, a, b in held for line in X.comment_lines(text[a:b]))
+            prose = prose_lines(line for _, a, b in held for line in X.comment_lines(text[a:b]))
+        yield held[0][1], held[-1][2], prose
+
+
+def paragraphs(text: str) -> Iterator[str]:
+    return (p for _, _, p in placed_paragraphs(text))
 
 
 def _literal_kind(text: str, start: int, end: int) -> str:
     return "R" if text[start - 1 : start] == "R" and text[end - 2 : end - 1] == ")" else X.STRING
 
 
-def count_words(model: Model, text: str) -> Counter:
-    out: Counter = Counter()
-    for p in paragraphs(text):
+def labelled(model: Model, text: str) -> Iterator[tuple[int, int, str, int, str]]:
+    """(start, end, lang, n, sentence): the labelled sentences, each with the place of the comment or literal, or of the run of
+    them, that holds it."""
+    for start, end, p in placed_paragraphs(text):
         for s, n in sentences(p):
             if label := model.label(s):
-                out[label] += n
+                yield start, end, label, n, s.strip()
+
+
+def count_words(model: Model, text: str) -> Counter:
+    out: Counter = Counter()
+    for _, _, lang, n, _ in labelled(model, text):
+        out[lang] += n
     return out
 
 
@@ -204,9 +216,26 @@ def _counter(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for batch in batches:
-            rows = [(k, lang, n) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for lang, n in count_words(model, t).items()]
-            columns = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.string()), pa.array(columns[1], type=pa.string()), pa.array(columns[2], type=pa.int64())], names=["k", "lang", "n"])
+            rows = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words, chars = Counter(), Counter()
+                for _, _, lang, n, s in labelled(model, t):
+                    words[lang] += n
+                    chars[lang] += len(s)
+                rows += [(k, lang, n, chars[lang]) for lang, n in words.items()]
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=kind) for c, kind in zip(columns, [pa.string(), pa.string(), pa.int64(), pa.int64()])], names=["k", "lang", "n", "chars"])
+
+    return run
+
+
+def _teller(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        for batch in batches:
+            rows = [(k, at + start, at + end, lang, n, s) for k, t, at in zip(*(c.to_pylist() for c in batch.columns)) for start, end, lang, n, s in labelled(model, t)]
+            columns = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=kind) for c, kind in zip(columns, [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()])], names=["k", "start", "end", "lang", "n", "sentence"])
 
     return run
 
@@ -307,20 +336,36 @@ def closed_pieces(docs: DataFrame, chunk_chars: int) -> DataFrame:
     return parts.where("role = 'inner' and t <> ''").select("k", "t", "at").unionByName(seams)
 
 
-def language_words(programs: DataFrame, key: str, text: str, model: Model, chunk_chars: int = 1_000_000) -> DataFrame:
-    """(k, lang, n): words of sentences (zh, ja: characters) in each language."""
+def _read(programs: DataFrame, key: str, text: str, model: Model, chunk_chars: int, reader, schema: str) -> DataFrame:
+    """What ``reader`` makes of (k, t, at), over short files and the pieces of long ones."""
     shared = programs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.bias))
     docs = spread(keyed_texts(programs, key, text))
-    schema = "k string, lang string, n long"
-    short = docs.where(F.length("t") <= chunk_chars).mapInArrow(_counter(shared), schema)
+    short = docs.where(F.length("t") <= chunk_chars).withColumn("at", F.lit(0).cast("long")).mapInArrow(reader(shared), schema)
     long = docs.where(F.length("t") > chunk_chars)
-    if not long.isEmpty():
-        short = short.unionByName(closed_pieces(long, chunk_chars).mapInArrow(_counter(shared), schema))
-    return short.groupBy("k", "lang").agg(F.sum("n").alias("n"))
+    return short if long.isEmpty() else short.unionByName(closed_pieces(long, chunk_chars).mapInArrow(reader(shared), schema))
+
+
+def language_sizes(programs: DataFrame, key: str, text: str, model: Model, chunk_chars: int = 1_000_000) -> DataFrame:
+    """(k, lang, n, chars): words of sentences (zh, ja: characters) in each language, and all characters of the sentences."""
+    rows = _read(programs, key, text, model, chunk_chars, _counter, "k string, lang string, n long, chars long")
+    return rows.groupBy("k", "lang").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+
+
+def language_words(programs: DataFrame, key: str, text: str, model: Model, chunk_chars: int = 1_000_000) -> DataFrame:
+    """(k, lang, n): words of sentences (zh, ja: characters) in each language."""
+    return language_sizes(programs, key, text, model, chunk_chars).select("k", "lang", "n")
+
+
+def prose(programs: DataFrame, key: str, text: str, model: Model, chunk_chars: int = 1_000_000) -> DataFrame:
+    """(k, start, end, lang, n, sentence): one row per sentence as it is printed, without markers; text[start:end] is the comment
+    or literal, or the run of them, that holds it."""
+    return _read(programs, key, text, model, chunk_chars, _teller, "k string, start long, end long, lang string, n long, sentence string")
 
 
 def shares(programs: DataFrame, key: str, text: str, model: Model, least: int = 0, **how) -> DataFrame:
-    """(k, lang, n, share): ``share`` of the file's prose that is in the language."""
-    words = language_words(programs, key, text, model, **how)
-    totals = words.groupBy("k").agg(F.sum("n").alias("total"))
-    return words.join(totals, "k").where(F.col("n") >= least).select("k", "lang", "n", (F.col("n") / F.col("total")).alias("share"))
+    """(k, lang, n, share, chars, file_share): ``share`` of the file's prose that is in the language, by words; ``file_share``
+    of the file's characters that the language's sentences are."""
+    sizes = language_sizes(programs, key, text, model, **how)
+    totals = sizes.groupBy("k").agg(F.sum("n").alias("total"))
+    files = keyed_texts(programs, key, text).groupBy("k").agg(F.sum(F.length("t")).alias("size"))
+    return sizes.join(totals, "k").join(files, "k").where(F.col("n") >= least).select("k", "lang", "n", (F.col("n") / F.col("total")).alias("share"), "chars", (F.col("chars") / F.col("size")).alias("file_share"))

@@ -102,7 +102,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language.shares(programs(spark, sf_dir), "ProgramID", "Content", _model(spark, sf_dir))
-    return out.select(F.col("k").alias("program_id"), "lang", F.col("n").alias("words"), "share")
+    return out.select(F.col("k").alias("program_id"), "lang", F.col("n").alias("words"), "share", "chars", "file_share")
+
+
+def p7_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language.prose(programs(spark, sf_dir), "ProgramID", "Content", _model(spark, sf_dir))
+    return out.select(F.col("k").alias("program_id"), "start", "end", "lang", F.col("n").alias("words"), "sentence")
 
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +138,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_percentiles, p1_percentiles_of_days, p2_found, p2_collapsed, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_shared, p6_found, p6_rates, p7_found, p7_shares, p8_packed, p9_found, p9_passages, p10_found, p10_redacted)
+    every = (p1_percentiles, p1_percentiles_of_days, p2_found, p2_collapsed, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_shared, p6_found, p6_rates, p7_found, p7_shares, p7_prose, p8_packed, p9_found, p9_passages, p10_found, p10_redacted)
     return {f.__name__: f for f in every}
 
 

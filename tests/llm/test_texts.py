@@ -253,6 +253,19 @@ def test_borders_cut_no_paragraph(text, size):
     assert [p for c in closed for p in language.paragraphs(c)] == list(language.paragraphs(text))
 
 
+def test_prose_and_its_share_of_the_file(spark):
+    text = "int a;\n" * 100 + "// " + SENTENCES["de"] + "\n" + 'auto s = R"(' + SENTENCES["fr"] + ')";\n' + "int b;\n" * 100
+    df = table(spark, [("p", text), ("none", "int x;")], "id string, c string")
+    for chunk in (200, 1_000_000):
+        rows = {r.lang: r for r in language.prose(df, "id", "c", trained(), chunk).collect()}
+        assert set(rows) == {"de", "fr"} and all(r.sentence == SENTENCES[lang] for lang, r in rows.items())
+        assert text[rows["de"].start : rows["de"].end] == "// " + SENTENCES["de"]
+        assert text[rows["fr"].start : rows["fr"].end] == '"(' + SENTENCES["fr"] + ')"'
+        got = {r.lang: r for r in language.shares(df, "id", "c", trained(), chunk_chars=chunk).collect()}
+        assert abs(sum(r.share for r in got.values()) - 1) < 1e-9
+        assert all(abs(got[x].file_share - len(SENTENCES[x]) / len(text)) < 1e-9 for x in ("de", "fr"))
+
+
 # --- P10
 
 
