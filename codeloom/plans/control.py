@@ -50,6 +50,20 @@ def not_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.without_skipped(table(spark, sf_dir, "benchmark_dataset").select("ProgramID"), K.failures_by_program(_log(spark, sf_dir)))
 
 
+def _full_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All failures, in whatever round."""
+    rows = table(spark, sf_dir, "experiment_results")
+    return rows.where("FailureReason not in ('', 'None')").select(F.col("Program").alias("program"), F.col("FinishedAt").alias("ts"), F.col("FailureReason").alias("reason"))
+
+
+def skip_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.failures_by_program(_full_log(spark, sf_dir))
+
+
+def not_skipped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.without_skipped(table(spark, sf_dir, "benchmark_dataset").select("ProgramID"), K.failures_by_program(_full_log(spark, sf_dir)))
+
+
 def repository_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.of_repositories(table(spark, sf_dir, "benchmark_dataset").select("ProgramID", "Repository"), ["contest-archive", "unknown"])
 
@@ -75,7 +89,7 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "experiment_results").agg(F.max("RunId").alias("run"))
 
 
-QUERIES = (compiler_banners, original_paths, plan_expansion, plan_outcome, skip_list, not_skipped, repository_filter, limited_programs, sampled_programs, run_counters, latest_run)
+QUERIES = (compiler_banners, original_paths, plan_expansion, plan_outcome, skip_list, not_skipped, skip_list_all, not_skipped_all, repository_filter, limited_programs, sampled_programs, run_counters, latest_run)
 
 _LOG = "f AS (SELECT Program AS program, FinishedAt AS ts, FailureReason AS reason FROM experiment_results WHERE FailureReason NOT IN ('', 'None') AND Round >= 3), s AS (SELECT program, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen FROM f GROUP BY 1)"
 

@@ -1,8 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import control as K
 from codeloom.operators import report as R
+from codeloom.plans import control as P
 
 
 def test_banners(spark):
@@ -32,6 +35,23 @@ def test_skips(spark):
     assert K.sampled(programs.repartition(3), 2, 1).collect() == K.sampled(programs, 2, 1).collect()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_skip_lists_of_all_rounds(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf_dir}/experiment_results.parquet").select("Program", "FinishedAt", "FailureReason").collect()
+    times = {}
+    for program, ts, reason in rows:
+        if reason not in (None, "", "None"):
+            times.setdefault(program, []).append(ts)
+    got = {r.program: r for r in P.skip_list_all(spark, sf_dir).collect()}
+    assert set(got) == set(times)
+    for program, seen in times.items():
+        known = [t for t in seen if t is not None]
+        assert (got[program]["count"], got[program].first_seen, got[program].last_seen) == (len(seen), min(known, default=None), max(known, default=None))
+    every = {r[0] for r in spark.read.parquet(f"{sf_dir}/benchmark_dataset.parquet").select("ProgramID").collect()}
+    assert {r[0] for r in P.not_skipped_all(spark, sf_dir).collect()} == {p for p in every if len(times.get(p, [])) < 2}
+
+
 def test_reports(spark):
     df = spark.createDataFrame([("a|b", 1.0, None)], "k string, v double, n int")
     assert "| a\\|b | 1.00 | N/A |" in R.markdown(df, "T") and "k  a|b" in R.text(df, "T")
