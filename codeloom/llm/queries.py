@@ -79,6 +79,16 @@ def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("k", "program_id")
 
 
+def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_spans.stretches(programs(spark, sf_dir), "ProgramID", "Content", 300)
+    return out.withColumnRenamed("k", "program_id")
+
+
+def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_spans.spans(programs(spark, sf_dir), "ProgramID", "Content", 300)
+    return out.withColumnsRenamed({"a": "program_a", "b": "program_b"})
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "raw_sources", "OriginalPath", "Content")
     return syntax.found(files, "OriginalPath", "Content").withColumnRenamed("path", "original_path")
@@ -138,7 +148,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_percentiles, p1_percentiles_of_days, p2_found, p2_collapsed, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_shared, p6_found, p6_rates, p7_found, p7_shares, p7_prose, p8_packed, p9_found, p9_passages, p10_found, p10_redacted)
+    every = (p1_percentiles, p1_percentiles_of_days, p2_found, p2_collapsed, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_shared, p5_stretches, p5_spans, p6_found, p6_rates, p7_found, p7_shares, p7_prose, p8_packed, p9_found, p9_passages, p10_found, p10_redacted)
     return {f.__name__: f for f in every}
 
 

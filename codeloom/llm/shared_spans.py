@@ -120,6 +120,32 @@ def sharing_pairs(df: DataFrame, key: str, text: str, length: int = 300, q: int
     return _verified(df, key, text, length, q, False)
 
 
+def spans(df: DataFrame, key: str, text: str, length: int = 300, q: int | None = None) -> DataFrame:
+    """(a, b, start_a, start_b, chars): the maximal spans that two records a < b have in common."""
+    return _verified(df, key, text, length, q, True).distinct()
+
+
+def _islands(found: DataFrame) -> DataFrame:
+    """(k, start, end, reach, fresh): the spans of each record by place, how far those before reach, and whether a new
+    stretch begins."""
+    from pyspark.sql import Window
+
+    found = checkpointed(found)
+    sides = found.select(F.col("a").alias("k"), F.col("start_a").alias("start"), (F.col("start_a") + F.col("chars")).alias("end")).union(found.select("b", "start_b", F.col("start_b") + F.col("chars"))).groupBy("k", "start").agg(F.max("end").alias("end"))
+    w = Window.partitionBy("k").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return sides.withColumn("reach", reach).withColumn("fresh", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0))
+
+
+def stretches(df: DataFrame, key: str, text: str, length: int = 300, q: int | None = None) -> DataFrame:
+    """(k, start, end): the merged stretches of each record that also stand in another one."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("k").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = _islands(_verified(df, key, text, length, q, True)).withColumn("stretch", F.sum("fresh").over(w))
+    return numbered.groupBy("k", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("k", "start", "end")
+
+
 def shared_spans(df: DataFrame, key: str, text: str, length: int = 300, q: int | None = None) -> DataFrame:
     """(k, n_chars, n_spans, shared_chars, shared_share): how much of each record also stands in another one.
 
@@ -127,13 +153,7 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 300, q: int |
     zeros. One record's spans are gathered as merged intervals per partition first, so that a record
     that shares with very many others does not gather them all in one task.
     """
-    found = checkpointed(_verified(df, key, text, length, q, True))
-    sides = found.select(F.col("a").alias("k"), F.col("start_a").alias("start"), (F.col("start_a") + F.col("chars")).alias("end")).union(found.select("b", "start_b", F.col("start_b") + F.col("chars"))).groupBy("k", "start").agg(F.max("end").alias("end"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("k").orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = sides.withColumn("reach", reach).withColumn("fresh", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0))
+    islands = _islands(_verified(df, key, text, length, q, True))
     covered = islands.select("k", "fresh", F.greatest(F.col("end") - F.greatest("start", F.coalesce("reach", F.lit(0))), F.lit(0)).alias("new"))
     merged = covered.groupBy("k").agg(F.sum("fresh").alias("n_spans"), F.sum("new").alias("shared_chars"))
     sizes = keyed_texts(df, key, text).select("k", F.length("t").cast("long").alias("n_chars")).groupBy("k").agg(F.max("n_chars").alias("n_chars"))

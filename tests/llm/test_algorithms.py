@@ -222,6 +222,28 @@ def test_shared_share(spark):
     assert got["e"].shared_share == 0.0
 
 
+def test_stretches_and_spans(spark):
+    rows = spans_corpus(25, 6)
+    texts = dict(rows)
+    df = programs(spark, [*rows, ("e", "")])
+    got = defaultdict(list)
+    for r in shared_spans.stretches(df, "ProgramID", "Content", 40).collect():
+        got[r.k].append((r.start, r.end))
+    for k, t in rows:
+        others = [u for j, u in texts.items() if j != k]
+        want: list[list[int]] = []
+        for i in range(len(t) - 39):
+            if any(t[i : i + 40] in u for u in others):
+                if want and i <= want[-1][1]:
+                    want[-1][1] = i + 40
+                else:
+                    want.append([i, i + 40])
+        assert sorted(got[k]) == [tuple(x) for x in want]
+    spans = shared_spans.spans(df, "ProgramID", "Content", 40).collect()
+    assert spans and all(r.a < r.b and r.chars >= 40 and texts[r.a][r.start_a : r.start_a + r.chars] == texts[r.b][r.start_b : r.start_b + r.chars] for r in spans)
+    assert {(r.a, r.b) for r in spans} == {(r.a, r.b) for r in shared_spans.sharing_pairs(df, "ProgramID", "Content", 40).collect()}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=60), st.integers(1, 12))
 def test_window_heads_are_the_sliding_minima(values, t):
