@@ -1,11 +1,11 @@
-"""Long spans that stand verbatim in several records (problem 5): compact windows over q-gram min-hashes.
-
-The tokens are the hashed q-grams at each character. In the Cartesian tree over a record's token hashes (least
-hash on top), the subtree of a token is the widest range in which it is the minimum: a compact window. A span of
-``length`` characters has ``length - q + 1`` successive tokens, so only windows at least that wide matter, about
-``2 / (length - q + 2)`` of the tokens. Two records that share such a span share the least token of it, and that
-token heads a wide enough window in both: joining windows on their signature finds every such pair.
-One hash function is therefore enough for exact spans; more would only serve spans that differ. Since q
+"""Long spans that stand verbatim in several records (problem 5): winnowed q-gram hashes, in place of compact windows.
+
+The tokens are the hashed q-grams at each character. A span of ``length`` characters has ``length - q + 1`` successive tokens;
+the least token of each sliding window that wide is kept, about ``2 / (length - q + 2)`` of the tokens. These are the tokens that
+head a compact window at least that wide, but no Cartesian tree is built, and records are joined on the hash alone and not on
+intervals: two records that share such a span have its least token in common, so no pair is missed, and as the texts are
+compared afterwards none is wrong.
+One hash function is enough for exact spans; more would only serve spans that differ. Since q
 is not far below ``length``, a signature is met by records that share most of a span, and not by all that share some
 common idiom.
 
