@@ -42,6 +42,16 @@ class Failure(Exception):
     pass
 
 
+#: The macros that a C++17 compiler (here g++ on 64-bit Linux) has before the first line.
+_NUMBERS = {
+    "__cplusplus": "201703L", "__STDC__": "1", "__STDC_HOSTED__": "1", "__LINE__": "1", "__COUNTER__": "0", "__INCLUDE_LEVEL__": "0", "__GNUC__": "13", "__GNUC_MINOR__": "2", "__GNUC_PATCHLEVEL__": "0", "__GNUG__": "13", "__GXX_RTTI": "1", "__EXCEPTIONS": "1", "__STRICT_ANSI__": "1", "_GNU_SOURCE": "1",
+    "__linux__": "1", "__linux": "1", "__gnu_linux__": "1", "__unix__": "1", "__unix": "1", "__ELF__": "1", "__x86_64__": "1", "__x86_64": "1", "__amd64__": "1", "__amd64": "1", "__LP64__": "1", "_LP64": "1", "__SSE__": "1", "__SSE2__": "1", "__CHAR_BIT__": "8", "__INT_MAX__": "0x7fffffff", "__LONG_MAX__": "0x7fffffffffffffffL",
+    "__SIZEOF_SHORT__": "2", "__SIZEOF_INT__": "4", "__SIZEOF_LONG__": "8", "__SIZEOF_LONG_LONG__": "8", "__SIZEOF_POINTER__": "8", "__SIZEOF_INT128__": "16", "__ORDER_LITTLE_ENDIAN__": "1234", "__ORDER_BIG_ENDIAN__": "4321", "__BYTE_ORDER__": "1234",
+    "__cpp_constexpr": "201603L", "__cpp_if_constexpr": "201606L", "__cpp_structured_bindings": "201606L", "__cpp_fold_expressions": "201603L", "__cpp_inline_variables": "201606L", "__cpp_deduction_guides": "201703L", "__cpp_lambdas": "200907L", "__cpp_generic_lambdas": "201304L", "__cpp_variadic_templates": "200704L", "__cpp_range_based_for": "201603L", "__cpp_static_assert": "201411L", "__cpp_decltype": "200707L", "__cpp_rvalue_references": "200610L", "__cpp_exceptions": "199711L", "__cpp_rtti": "199711L", "__cpp_aligned_new": "201606L", "__cpp_noexcept_function_type": "201510L",
+}
+PREDEFINED = {k: (None, [("num", v)]) for k, v in _NUMBERS.items()} | {k: (None, [("str", '""')]) for k in ("__FILE__", "__BASE_FILE__", "__DATE__", "__TIME__", "__TIMESTAMP__", "__VERSION__")} | {"__has_include": (None, [])}
+
+
 class Lexed:
     """Tokens of one file after the preprocessor: kinds, texts and lines, closed by an end token."""
 
@@ -62,7 +72,7 @@ class Lexed:
         text = text.lstrip("﻿")
         line = 1
         start_of_line = True
-        macros: dict[str, tuple[list[str] | None, list[tuple[str, str]]]] = {}
+        macros: dict[str, tuple[list[str] | None, list[tuple[str, str]]]] = dict(PREDEFINED)
         stack: list[list] = []  # [active before, some branch taken, active now, saw else]
         active = True
         raw: list[tuple[str, str, int]] = []
@@ -236,8 +246,8 @@ class Lexed:
 
     def _expand(self, tokens: list[tuple[str, str]], macros: dict, hidden: frozenset) -> list[tuple[str, str]]:
         out: list[tuple[str, str]] = []
-        i, budget = 0, 200_000
-        while i < len(tokens) and len(out) < budget:
+        i = 0
+        while i < len(tokens):
             kind, value = tokens[i]
             if kind != "id" or value not in macros or value in hidden:
                 out.append((kind, value))
@@ -296,7 +306,7 @@ class Lexed:
         """Value of an #if; names that are no macros are 0."""
         text = re.sub(r"defined\s*(?:\(\s*(\w+)\s*\)|(\w+))", lambda m: "1" if (m[1] or m[2]) in macros else "0", text)
         text = re.sub(r"__has_include\s*(?:<[^>]*>|\([^)]*\))", "1", text)
-        tokens = [("num", "201703") if v == "__cplusplus" else ("num", "13") if v == "__GNUC__" else (k, v) for k, v in self._expand(self._plain(text), macros, frozenset())]
+        tokens = self._expand(self._plain(text), macros, frozenset())
         words = []
         for k, v in tokens:
             if k == "num":
@@ -308,7 +318,7 @@ class Lexed:
             elif k == "chr":
                 words.append(str(ord(v[1]) if len(v) == 3 else 0))
         code = re.sub(r"\b0\s*\((?:[\d\s,]*)\)", "0", " ".join(words)).replace("not  =", "!=")
-        if not re.fullmatch(r"[\dxXa-fA-FbB\s+\-*/%<>=!&|^~().andortn?:]*", code) or not code.strip() or "**" in code or len(code) > 1000:
+        if not re.fullmatch(r"[\dxXa-fA-FbB\s+\-*/%<>=!&|^~().andortn?:]*", code) or not code.strip() or "**" in code:
             if not code.strip():
                 self._error(line, "#if with no expression")
             return False

@@ -127,6 +127,14 @@ def test_invalid_cpp(text):
     assert cpp_parser.parse_errors(text)
 
 
+def test_preprocessor_has_no_limits():
+    many = "#define A(x) x x x x x x x x x x\n#define B(x) A(A(A(x)))\n"
+    assert cpp_parser.parse_errors(many + "int main() { A(A(B({ f(); }))) return 0; }") == []
+    assert cpp_parser.parse_errors("#if " + " || ".join(["0"] * 500) + " || 1\nint a;\n#else\nint a {{;\n#endif") == []
+    assert cpp_parser.parse_errors("#ifdef __cplusplus\nint f( {\n#endif")
+    assert cpp_parser.parse_errors('#ifndef __cplusplus\nint f( {\n#endif\n#if __cplusplus >= 201703L && __GNUC__ && defined(__linux__)\nconst char* s = "a" __FILE__;\n#else\n{\n#endif') == []
+
+
 def test_recovery_finds_later_errors():
     assert [line for line, _ in cpp_parser.parse_errors("int f() {\n  int a = ;\n  a++;\n  b = );\n}\nint g(int a {\n}\nint h() { return 1; }")] == [2, 4, 6]
 
