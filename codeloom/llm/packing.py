@@ -5,6 +5,8 @@ window: in every window a source earns credit for its share of the window's toke
 lasts and carries the rest over. Served that way, an item with running total C in its queue falls into the first
 window w with w * credit >= C. The running total is a prefix sum that runs over salted parts of each
 queue, so a source with a third of all items is no single task, and deficits carry over windows and partitions alike.
+The shares are target proportions if such are given, else the natural ones. No text is repeated or dropped: when a source runs
+out, later windows hold the others only, each still at its own credit, and so fewer tokens.
 
 The items of a window are packed by best fit, largest first. A window holds a bounded number of tokens, and windows
 are packed independently. Whatever containers a window leaves less full than ``full`` are opened again: their
@@ -86,11 +88,19 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def assign_windows(items: DataFrame, window_tokens: int, part_rows: int = 100_000) -> DataFrame:
-    """Adds ``w``, the window in which deficit round-robin serves the item (k, source, n)."""
+def assign_windows(items: DataFrame, window_tokens: int, part_rows: int = 100_000, targets: dict[str, float] | None = None) -> DataFrame:
+    """Adds ``w``, the window in which deficit round-robin serves the item (k, source, n). ``targets`` has the wanted weight of
+    sources among the tokens of a window; a source that is not named weighs as much as its share of all tokens."""
+    if targets and min(targets.values()) <= 0:
+        raise ValueError("a target proportion is above 0")
     totals = items.groupBy("source").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
     every = totals.agg(F.sum("tokens").alias("all"))
-    totals = totals.crossJoin(F.broadcast(every)).select("source", F.ceil(F.col("rows") / part_rows).cast("int").alias("salts"), (F.col("tokens") / F.greatest("all", F.lit(1)) * window_tokens).alias("credit"))
+    totals = totals.crossJoin(F.broadcast(every)).select("source", F.ceil(F.col("rows") / part_rows).cast("int").alias("salts"), (F.col("tokens") / F.greatest("all", F.lit(1))).alias("weight"))
+    if targets:
+        wanted = items.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "source string, wanted double")
+        totals = totals.join(wanted, "source", "left").withColumn("weight", F.when(F.col("weight") > 0, F.coalesce("wanted", "weight")).otherwise(0.0)).drop("wanted")
+        totals = totals.crossJoin(F.broadcast(totals.agg(F.sum("weight").alias("weights")))).withColumn("weight", F.col("weight") / F.greatest("weights", F.lit(1e-300))).drop("weights")
+    totals = totals.withColumn("credit", F.col("weight") * window_tokens).drop("weight")
     salted = items.join(totals, "source").withColumn("salt", F.pmod(F.xxhash64("k", F.lit(3)), F.col("salts")))
     within = Window.partitionBy("source", "salt").orderBy(F.xxhash64("k"), "k", "n")
     running = salted.withColumn("c", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)))
@@ -113,10 +123,10 @@ def _packer(capacity: int, full: float, first: bool):
     return run
 
 
-def pack(counted: DataFrame, capacity: int = 2048, containers: int = 512, full: float = 0.97, again_windows: int = 64) -> DataFrame:
+def pack(counted: DataFrame, capacity: int = 2048, containers: int = 512, full: float = 0.97, again_windows: int = 64, targets: dict[str, float] | None = None) -> DataFrame:
     """(container, k, source, start, n) of (k, source, n): tokens start .. start + n of item k lie in container."""
     # Counted once: the totals, the running sums and the pieces all need it, and texts are not needed again.
-    served = checkpointed(assign_windows(checkpointed(counted), containers * capacity))
+    served = checkpointed(assign_windows(checkpointed(counted), containers * capacity, targets=targets))
     whole = F.floor(F.col("n") / capacity)
     cut = served.withColumn("whole", F.when(F.col("n") > capacity, whole).otherwise(0).cast("int"))
     heads = cut.where("whole > 0").select("k", "source", "w", F.posexplode(F.array_repeat(F.lit(0), F.col("whole"))).alias("i", "z"))

@@ -299,6 +299,23 @@ def test_windows_keep_the_mixture(spark):
 # --- P9
 
 
+def test_windows_follow_targets(spark):
+    rows = [(i, "a" if i % 4 else "b", 10) for i in range(4000)] + [(9000, "empty", 0)]
+    df = spark.createDataFrame(rows, "k long, source string, n long")
+    w = packing.assign_windows(df, 1000, part_rows=300, targets={"a": 0.5, "b": 0.5, "absent": 3.0}).collect()
+    by = defaultdict(Counter)
+    for r in w:
+        by[r.w][r.source] += r.n
+    assert sorted(r.k for r in w) == sorted(k for k, _, _ in rows)
+    # b has 10,000 tokens and runs out after 20 windows of 500; a goes on alone.
+    assert all(abs(by[i]["a"] - 500) <= 10 and abs(by[i]["b"] - 500) <= 10 for i in range(1, 20))
+    assert all(by[i]["b"] == 0 and abs(by[i]["a"] - 500) <= 10 for i in range(22, 60))
+    pieces = packing.pack(df, 100, containers=10, again_windows=8, targets={"b": 2.0}).collect()
+    assert sum(r.n for r in pieces) == 40_000
+    with pytest.raises(ValueError):
+        packing.assign_windows(df, 1000, targets={"a": 0})
+
+
 def test_leaks_match_brute_force(spark):
     draw = random.Random(6)
     words = [f"W{i}" for i in range(40)]
