@@ -71,7 +71,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = shared_spans.sharing_pairs(programs(spark, sf_dir), "ProgramID", "Content", 300)
-    return pairs.select(F.col("a").alias("program_a"), F.col("b").alias("program_b")).distinct()
+    return pairs.withColumnsRenamed({"a": "program_a", "b": "program_b"})
 
 
 def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,8 @@ def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shared_spans.spans(programs(spark, sf_dir), "ProgramID", "Content", 300)
-    return out.withColumnsRenamed({"a": "program_a", "b": "program_b"})
+    out = shared_spans.partner_stretches(programs(spark, sf_dir), "ProgramID", "Content", 300)
+    return out.withColumnsRenamed({"k": "program_id", "partner": "partner_id"})
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,13 +71,14 @@ class Rolling:
         return mix((self.prefix[end] - self.prefix[start]) * self.shift[start])
 
 
-def grams(flat: np.ndarray, offsets: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the q successive values at each position that has them within its text; and their offsets."""
+def grams(flat: np.ndarray, offsets: np.ndarray, q: int, roll: Rolling | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the q successive values at each position that has them within its text; and their offsets. ``roll`` is that of
+    ``flat``, if there is one already."""
     counts = np.maximum(np.diff(offsets) - q + 1, 0)
     out = np.zeros(len(counts) + 1, dtype=np.int64)
     np.cumsum(counts, out=out[1:])
     start = np.arange(out[-1]) + np.repeat(offsets[:-1] - out[:-1], counts)
-    return Rolling(flat).ranges(start, start + q), out
+    return (roll or Rolling(flat)).ranges(start, start + q), out
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

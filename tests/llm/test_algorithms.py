@@ -180,34 +180,48 @@ def test_band_count_reaches_the_recall():
     assert 1 - (1 - 0.7**5) ** b >= 0.999 > 1 - (1 - 0.7**5) ** (b - 1)
 
 
-def longest_common(a, b):
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        new = [0] * (len(b) + 1)
-        for j, y in enumerate(b):
-            if x == y:
-                new[j + 1] = row[j] + 1
-                best = max(best, new[j + 1])
-        row = new
-    return best
-
-
 def spans_corpus(n=40, seed=3):
     draw = random.Random(seed)
     blocks = ["".join(draw.choice("abcde \né") for _ in range(draw.randrange(20, 70))) for _ in range(12)]
     return [(f"p{i:02d}", "".join(draw.choice(blocks) if draw.random() < 0.6 else "".join(draw.choice("xyz") for _ in range(30)) for _ in range(4))) for i in range(n)]
 
 
-def test_sharing_pairs(spark):
-    rows = [*spans_corpus(), ("q1", "=" * 200), ("q2", "=" * 90), ("q3", ""), ("q4", None)]
-    got = {(r.a, r.b): r.longest for r in shared_spans.sharing_pairs(programs(spark, rows), "ProgramID", "Content", 40).collect()}
+@pytest.mark.parametrize("few", [32, 2])
+def test_sharing_pairs(spark, few):
+    rows = [*spans_corpus(), ("q1", "=" * 200), ("q2", "=" * 90), ("q3", ""), ("q4", None), ("q5", "-+" * 60), ("q6", "x" + "-+" * 30)]
+    df = programs(spark, rows)
+    got = {(r.a, r.b) for r in shared_spans.sharing_pairs(df, "ProgramID", "Content", 40, few=few).collect()}
     texts = [(k, t) for k, t in rows if t]
-    want = {(a, b): n for i, (a, s) in enumerate(texts) for b, t in texts[i + 1 :] if (n := longest_common(s, t)) >= 40}
-    assert set(got) == set(want)
-    assert all(got[p] == want[p] for p in want)
+    want = {(a, b) for i, (a, s) in enumerate(texts) for b, t in texts[i + 1 :] if any(s[j : j + 40] in t for j in range(len(s) - 39))}
+    assert got == want
+    met = {(r.k, r.partner) for r in shared_spans.partner_stretches(df, "ProgramID", "Content", 40, few=few).collect()}
+    assert met == want | {(b, a) for a, b in want}
     assert shared_spans.sharing_pairs(programs(spark, []), "ProgramID", "Content", 40).count() == 0
 
 
+def test_long_runs_of_one_sign_and_a_common_head(spark):
+    draw = random.Random(5)
+    head = "".join(draw.choice("abcdef ") for _ in range(70))
+    rows = [("r1", "=" * 60_000), ("r2", "=" * 60_000 + "x"), *[(f"h{i:03d}", head + "".join(draw.choice("xyz") for _ in range(200))) for i in range(150)]]
+    out = {r.k: r for r in shared_spans.shared_spans(programs(spark, rows), "ProgramID", "Content", 60).collect()}
+    assert out["r1"].shared_chars == out["r2"].shared_chars == 60_000
+    assert all(out[k].shared_chars >= 70 for k, _ in rows)
+    texts = [t for k, t in rows if k[0] == "h"]
+    for k, t in rows[2:12]:
+        at = max(n for n in range(70, 90) if sum(u.startswith(t[:n]) for u in texts) > 1)
+        assert (out[k].n_spans, out[k].shared_chars) == (1, at)
+
+
+def test_repeated_keys_share_nothing_with_themselves(spark):
+    text = "The quick brown fox jumps over the dog. 123"
+    rows = [("p", text), ("p", text + "!"), ("p", text), ("q", "z" + text[3:])]
+    df = programs(spark, rows)
+    assert {(r.a, r.b) for r in shared_spans.sharing_pairs(df, "ProgramID", "Content", 20).collect()} == {("p", "q")}
+    got = sorted((r.k, r.n_chars, r.shared_chars) for r in shared_spans.shared_spans(df, "ProgramID", "Content", 20).collect())
+    assert got == [("p", 43, 40), ("p", 44, 40), ("q", 41, 40)]
+    assert shared_spans.stretches(programs(spark, rows[:3]), "ProgramID", "Content", 20).count() == 0
+
+
 def test_shared_share(spark):
     rows = spans_corpus(25, 6)
     texts = dict(rows)
@@ -239,17 +253,38 @@ def test_stretches_and_spans(spark):
                 else:
                     want.append([i, i + 40])
         assert sorted(got[k]) == [tuple(x) for x in want]
-    spans = shared_spans.spans(df, "ProgramID", "Content", 40).collect()
-    assert spans and all(r.a < r.b and r.chars >= 40 and texts[r.a][r.start_a : r.start_a + r.chars] == texts[r.b][r.start_b : r.start_b + r.chars] for r in spans)
-    assert {(r.a, r.b) for r in spans} == {(r.a, r.b) for r in shared_spans.sharing_pairs(df, "ProgramID", "Content", 40).collect()}
-
-
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(0, 5), min_size=1, max_size=60), st.integers(1, 12))
-def test_window_heads_are_the_sliding_minima(values, t):
-    h = np.array(values, dtype=np.uint64)
-    want = sorted({min(values[i : i + t]) for i in range(len(values) - t + 1)})
-    assert shared_spans.window_heads(h, t).tolist() == want
+    pairs = defaultdict(list)
+    for r in shared_spans.partner_stretches(df, "ProgramID", "Content", 40).collect():
+        pairs[r.k, r.partner].append((r.start, r.end))
+    for (k, j), found in pairs.items():
+        s, u = texts[k], texts[j]
+        want = []
+        for i in range(len(s) - 39):
+            if s[i : i + 40] in u:
+                if want and i <= want[-1][1]:
+                    want[-1][1] = i + 40
+                else:
+                    want.append([i, i + 40])
+        assert sorted(found) == [tuple(x) for x in want]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), max_size=60), min_size=1, max_size=4), st.integers(1, 12), st.sampled_from([0, 2, 64]))
+def test_compact_windows_hold_each_run_once(records, t, levels):
+    before, shared_spans.LEVELS = shared_spans.LEVELS, levels
+    try:
+        flat = np.array([v << 32 for r in records for v in r], dtype=np.uint64)
+        offsets = np.concatenate(([0], np.cumsum([len(r) for r in records])))
+        runs = Counter()
+        for i, left, at, right in zip(*(x.tolist() for x in shared_spans.compact_windows(flat, offsets, t))):
+            assert right - left + 1 >= t and left <= at <= right < len(records[i])
+            for start in range(max(left, at - t + 1), min(at, right - t + 1) + 1):
+                run = records[i][start : start + t]
+                assert at - start == run.index(min(run))
+                runs[i, start] += 1
+        assert runs == Counter((i, s) for i, r in enumerate(records) for s in range(len(r) - t + 1))
+    finally:
+        shared_spans.LEVELS = before
 
 
 # --- P8
