@@ -41,6 +41,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(df: DataFrame, target_bytes: int = 128 << 20) -> int:
+    """As many partitions as the optimiser's estimate of the size asks for, at least the session's number for shuffles."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // target_bytes + 1, 200_000))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores: one more exchange, only where a scan has fewer splits than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
