@@ -42,9 +42,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def partitions_for(df: DataFrame, target_bytes: int = 128 << 20) -> int:
-    """As many partitions as the optimiser's estimate of the size asks for, at least the session's number for shuffles."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // target_bytes + 1, 200_000))
+    """As many partitions as the optimiser's estimate of the size asks for, at least the session's number for shuffles, which is
+    also taken where the size is not known."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >= 1 << 60 else max(least, min(size // target_bytes + 1, 50_000))
 
 
 def spread(df: DataFrame) -> DataFrame:
