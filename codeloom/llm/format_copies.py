@@ -7,8 +7,8 @@ repeated ones count, and records are grouped by the sums. Groups of one need not
 fields are compared with those of the first record of its group, without sorting them. Should hashes ever
 collide, the odd ones are grouped by their complete fields.
 
-The plan stays in the JVM. Groups are pre-aggregated before the shuffle; in the comparison the first record of a
-very large group is sent to several partitions, among which its members are spread.
+The plan stays in the JVM. Fields are computed once. Groups are pre-aggregated before the shuffle. The members of a very large
+group are salted before they are brought together, and its first record is sent to each salt.
 
 Defined results: null key or text: left out; texts with no letter or digit are copies of one another; a repeated
 key counts as often as it occurs, but is no copy of itself; an empty table gives an empty result.
@@ -19,12 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.lineage import fenced
-from codeloom.llm.common import checkpointed, keyed_texts, spread
+from codeloom.lineage import fenced, stored
+from codeloom.llm.common import keyed_texts, spread
 
 MASK = (1 << 60) - 1
 #: Members of a group for each partition that its first record is sent to.
 MEMBERS_PER_SALT = 20_000
+#: Large groups, of three numbers each, that are broadcast; were there more, they would be joined.
+MOST_BROADCAST = 500_000
+#: Lines of an opening comment, or #include lines, from which sorting is cheaper than counting.
+MANY_LINES = 64
 
 
 def normal(c: Column) -> Column:
@@ -69,15 +73,21 @@ def fingerprints(parts: DataFrame) -> DataFrame:
 
 def same_multiset(a: str, b: str) -> Column:
     count = lambda c, x: F.size(F.filter(c, lambda y: y == x))
-    return (F.col(a) == F.col(b)) | ((F.size(a) == F.size(b)) & F.forall(a, lambda x: count(a, x) == count(b, x)))
+    counted = F.when(F.size(a) > MANY_LINES, F.array_sort(a) == F.array_sort(b)).otherwise(F.forall(a, lambda x: count(a, x) == count(b, x)))
+    return F.when(F.col(a) == F.col(b), True).when(F.size(a) != F.size(b), False).otherwise(counted)
 
 
 def copies(df: DataFrame, key: str, text: str) -> DataFrame:
     """(first_id, copy_id) for every record, also (x, x) for the first record x of each set."""
-    parts = fingerprints(fields(spread(keyed_texts(df, key, text))))
+    parts = stored(fingerprints(fields(spread(keyed_texts(df, key, text)))))
     groups = parts.groupBy("f1", "f2").agg(F.min("k").alias("first"), F.count("*").alias("n"))
     several = groups.where("n > 1").withColumn("salts", F.ceil(F.col("n") / MEMBERS_PER_SALT).cast("int"))
-    members = checkpointed(parts.join(several, ["f1", "f2"]).withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int")))
+    large = several.where("salts > 1").select("f1", "f2", F.col("salts").alias("many"))
+    count = large.count()  # at most one for MEMBERS_PER_SALT rows
+    salted = parts.withColumn("many", F.lit(1)) if not count else parts.join(F.broadcast(large) if count <= MOST_BROADCAST else large, ["f1", "f2"], "left")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("k"), F.coalesce("many", F.lit(1))).cast("int")).drop("many")
+    each = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    members = stored(salted.join(each, ["f1", "f2", "salt"]))
     # min_by would hold whole texts in the first aggregation; the first record is picked from the members instead.
     heads = members.where("k = first").dropDuplicates(["f1", "f2"])
     heads = heads.select("f1", "f2", F.col("head").alias("head0"), F.col("includes").alias("includes0"), F.col("body").alias("body0"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))

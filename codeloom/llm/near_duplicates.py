@@ -2,8 +2,9 @@
 
 ``bands x rows`` MinHash values of the set of n-grams are computed per record in one vectorised pass over the
 text. The number of bands follows from the wanted recall at the threshold. Records are shuffled on their band
-hashes; two records that meet in a band, and whose set sizes allow the threshold at all, form a candidate. Each
-candidate is verified on the full n-gram sets, so that banding decides only what is looked at.
+hashes; two records that meet in a band, and whose set sizes allow the threshold at all, form a candidate. Bands of one record
+are left out first, and a band that very many records share is cut into blocks of ``BLOCK`` records, of which each two meet on their
+own, so that no band is one task. Each candidate is verified on the full n-gram sets, so that banding decides only what is looked at.
 
 Records with the same n-gram set are collapsed before banding: a hot group of copies enters the buckets as one
 record, and is put back into the result afterwards.
@@ -23,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.lineage import stored
 from codeloom.llm import shingles
 from codeloom.llm.common import checkpointed, keyed_texts, spread, text_groups
 
+#: Records of a band that are compared with each other, or with those of another block, by one task.
+BLOCK = 1000
+
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
     """Bands of ``rows`` values so that a pair at the threshold meets in one with probability ``recall``."""
@@ -112,21 +117,32 @@ def verifier(n: int, threshold: float):
     return run
 
 
+def blocked(keyed: DataFrame) -> DataFrame:
+    """(rep, size, band, block, lo, hi) of (rep, size, band): the records of bands that several have, each once for every block
+    that its own block has to meet."""
+    shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    rows = keyed.join(shared, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.select("rep", "size", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select("rep", "size", "band", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, n: int = 5, rows: int = 5, recall: float = 0.9995) -> tuple[DataFrame, DataFrame]:
     """Two frames: ``links`` (a, b, similarity) between records with different n-gram sets, a < b, of which each
     side stands for its whole class of equal sets; and ``classes`` (k, rep), every record that has n-grams
     with the smallest key among the records of the same set."""
     docs = keyed_texts(df, key, text)
     bands = bands_for(threshold, rows, recall)
-    signed = checkpointed(spread(docs).mapInArrow(signer(n, bands, rows), "k string, size long, f1 long, f2 long, bands array<long>"))
-    reps = signed.groupBy("f1", "f2", "size").agg(F.min_by(F.struct("k", "bands"), "k").alias("r"))
-    reps = reps.select("f1", "f2", "size", F.col("r.k").alias("rep"), F.col("r.bands").alias("bands"))
-    classes = signed.select("k", "f1", "f2", "size").join(reps.select("f1", "f2", "size", "rep"), ["f1", "f2", "size"]).select("k", "rep").distinct()
-    keyed = reps.select("rep", "size", F.explode("bands").alias("band")).repartition("band")
-    x, y = keyed.alias("x"), keyed.alias("y")
+    signed = stored(spread(docs).mapInArrow(signer(n, bands, rows), "k string, size long, f1 long, f2 long, bands array<long>"))
+    reps = signed.groupBy("f1", "f2", "size").agg(F.min("k").alias("rep"))
+    classes = signed.select("k", "f1", "f2", "size").join(reps, ["f1", "f2", "size"]).select("k", "rep").distinct()
+    keyed = signed.join(reps, ["f1", "f2", "size"]).where("k = rep").dropDuplicates(["f1", "f2", "size"]).select("rep", "size", F.explode("bands").alias("band"))
+    met = blocked(keyed)
+    x, y = met.alias("x"), met.alias("y")
     fits = (F.col("x.size") >= threshold * F.col("y.size")) & (F.col("y.size") >= threshold * F.col("x.size"))
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & fits)
-    pairs = checkpointed(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    once = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block"))
+    pairs = checkpointed(x.join(y, meet & once & (F.col("x.rep") < F.col("y.rep")) & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
     texts = docs.join(wanted, "k", "left_semi")
     both = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")

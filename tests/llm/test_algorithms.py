@@ -79,6 +79,20 @@ def test_parts_combine_exactly(spark):
     assert key(percentiles.percentiles(whole, partitions=7)) == key(percentiles.percentiles(percentiles.merge(*parts), partitions=3))
 
 
+def test_one_value_of_very_many_rows_is_split(spark, monkeypatch):
+    """Two thirds of the rows have one value of one group; no partition holds them all, and long groups are passed on."""
+    monkeypatch.setattr(percentiles, "HELD", 50)
+    rows = [("hot", 1.0 if i % 3 else float(i), i, "x", "y") for i in range(6000)] + [("cold", float(i), i, "x", "y") for i in range(40)]
+    long = percentiles.measurements(percentiles.deduplicate(results(spark, rows), ["Program", "TranslationTime"]), "Program", ["TranslationTime"])
+    ranged = long.repartitionByRange(8, "metric", "g", "value", "tie")
+    assert max(r["count"] for r in ranged.groupBy(F.spark_partition_id()).count().collect()) < 2000
+    got = {(r.g, r.percent): (r.n, r.value) for r in percentiles.percentiles(long, (10.0, 50.0, 90.0), 8).collect()}
+    for g, n in (("hot", 6000), ("cold", 40)):
+        values = [v for p, v, *_ in rows if p == g]
+        for p in (10.0, 50.0, 90.0):
+            assert got[g, p] == (n, pytest.approx(np.percentile(values, p)))
+
+
 def test_percentiles_of_nothing(spark):
     assert percentiles.program_percentiles(results(spark, []), "Program", ["TranslationTime"]).count() == 0
 
@@ -152,6 +166,23 @@ def test_near_duplicates(spark, threshold):
     assert near_duplicates.near_duplicate_pairs(programs(spark, []), "ProgramID", "Content").count() == 0
 
 
+def test_a_band_of_many_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(f"p{i:02d}", " ".join(w if draw.random() > 0.01 else f"x{draw.randrange(9)}" for w in base)) for i in range(40)] + [("c" + k, t) for k, t in corpus(20, 5)]
+    got = {(r.a, r.b) for r in near_duplicates.near_duplicate_pairs(programs(spark, rows), "ProgramID", "Content", 0.8, recall=0.9999).collect()}
+    assert got == jaccard(rows, 5, 0.8)
+    keyed = spark.createDataFrame([(f"r{i:03d}", 5, 1) for i in range(100)] + [("r000", 5, 2)], "rep string, size long, band long")
+    met = near_duplicates.blocked(keyed)
+    assert met.where("band = 2").count() == 0
+    sizes = [r["count"] for r in met.groupBy("band", "lo", "hi").count().collect()]
+    assert len(sizes) > 60 and max(sizes) < 60
+    x, y = met.alias("x"), met.alias("y")
+    pairs = x.join(y, ["band", "lo", "hi"]).where("x.rep < y.rep and (lo = hi or x.block <> y.block)").groupBy("x.rep", "y.rep").count().collect()
+    assert len(pairs) == 100 * 99 // 2 and all(r["count"] == 1 for r in pairs)
+
+
 def test_groups_are_components(spark):
     rows = corpus(60, 7)
     pairs = jaccard(rows, 5, 0.8)
