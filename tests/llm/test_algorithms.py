@@ -416,3 +416,11 @@ def test_leaks_match_brute_force(spark):
         assert passage in " ".join(word.findall(item[r.item].lower())) and len(passage.split()) == r.words >= 20
     assert leaks.leaks(docs_df, items_df.limit(0), "doc_id", "text", "item_id", ["text"]).count() == 0
     assert leaks.leaks(docs_df.limit(0), items_df, "doc_id", "text", "item_id", ["text"]).count() == 0
+
+
+def test_more_words_than_code_points():
+    words = [f"w{i}" for i in range(1_200_000)]  # a code point each would not do
+    matcher = leaks.Matcher([(7, " ".join(words)), (8, " ".join(words[:30])), (9, " ".join(words[:19]))], 20)
+    text = "x " + " ".join(words[1_199_970:1_199_995]) + ", " + "; ".join(words[5:25])
+    assert [(i, n) for i, _, _, n in matcher.spans(text)] == [(7, 25), (7, 20), (8, 20)]
+    assert not matcher.spans(" ".join(words[100:119]) + " x " + words[119])
