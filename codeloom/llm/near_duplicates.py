@@ -2,9 +2,9 @@
 
 ``bands x rows`` MinHash values of the set of n-grams are computed per record in one vectorised pass over the
 text. The number of bands follows from the wanted recall at the threshold. Records are shuffled on their band
-hashes; two records that meet in a band, and whose set sizes allow the threshold at all, form a candidate. Bands of one record
-are left out first, and a band that very many records share is cut into blocks of ``BLOCK`` records, of which each two meet on their
-own, so that no band is one task. Each candidate is verified on the full n-gram sets, so that banding decides only what is looked at.
+hashes; two records that meet in a band, and whose set sizes allow the threshold at all, form a candidate. A band that very many
+records share is cut into blocks of about ``BLOCK`` records, of which each two meet on their own, so that no band is one task; such
+bands are looked for in a sample, which decides the layout alone and nothing in the result. Each candidate is verified on the full n-gram sets, so that banding decides only what is looked at.
 
 Records with the same n-gram set are collapsed before banding: a hot group of copies enters the buckets as one
 record, and is put back into the result afterwards.
@@ -30,6 +30,10 @@ from codeloom.llm.common import checkpointed, keyed_texts, spread, text_groups
 
 #: Records of a band that are compared with each other, or with those of another block, by one task.
 BLOCK = 1000
+#: One of so many records is looked at for bands that have to be cut, and how often a band has to be seen.
+SAMPLED, SEEN = 64, 32
+#: Cut bands, of two numbers each, that are broadcast; were there more, they would be joined.
+MOST_BROADCAST = 500_000
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -117,14 +121,25 @@ def verifier(n: int, threshold: float):
     return run
 
 
-def blocked(keyed: DataFrame) -> DataFrame:
-    """(rep, size, band, block, lo, hi) of (rep, size, band): the records of bands that several have, each once for every block
-    that its own block has to meet."""
-    shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keyed.join(shared, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.select("rep", "size", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return rows.select("rep", "size", "band", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+def common_bands(signed: DataFrame) -> DataFrame:
+    """(band, blocks): the bands that have to be cut, by their number in a sample of the records (k, bands)."""
+    drawn = signed.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLED)) == 0).select(F.explode("bands").alias("band"))
+    return drawn.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN).select("band", F.ceil(F.col("n") * SAMPLED / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+
+
+def blocked(keyed: DataFrame, common: DataFrame) -> DataFrame:
+    """(rep, size, band, block, lo, hi) of (rep, size, band): each record once for every block of its band that its own block has to
+    meet; a band that is not common is one block."""
+    count = common.count()
+    rows = keyed.join(F.broadcast(common) if count <= MOST_BROADCAST else common, "band", "left") if count else keyed.withColumn("blocks", F.lit(1))
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    if count:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    else:
+        rows = rows.withColumn("other", F.lit(0))
+    rows = rows.select("rep", "size", "band", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    # A block is bounded, so the exchange that both sides of the join use need not be split any more.
+    return rows.repartition("band", "lo", "hi")
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, n: int = 5, rows: int = 5, recall: float = 0.9995) -> tuple[DataFrame, DataFrame]:
@@ -134,10 +149,10 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, n:
     docs = keyed_texts(df, key, text)
     bands = bands_for(threshold, rows, recall)
     signed = stored(spread(docs).mapInArrow(signer(n, bands, rows), "k string, size long, f1 long, f2 long, bands array<long>"))
-    reps = signed.groupBy("f1", "f2", "size").agg(F.min("k").alias("rep"))
-    classes = signed.select("k", "f1", "f2", "size").join(reps, ["f1", "f2", "size"]).select("k", "rep").distinct()
-    keyed = signed.join(reps, ["f1", "f2", "size"]).where("k = rep").dropDuplicates(["f1", "f2", "size"]).select("rep", "size", F.explode("bands").alias("band"))
-    met = blocked(keyed)
+    reps = signed.groupBy("f1", "f2", "size").agg(F.min_by(F.struct("k", "bands"), "k").alias("r"))
+    reps = reps.select("f1", "f2", "size", F.col("r.k").alias("rep"), F.col("r.bands").alias("bands"))
+    classes = signed.select("k", "f1", "f2", "size").join(signed.groupBy("f1", "f2", "size").agg(F.min("k").alias("rep")), ["f1", "f2", "size"]).select("k", "rep").distinct()
+    met = blocked(reps.select("rep", "size", F.explode("bands").alias("band")), common_bands(signed))
     x, y = met.alias("x"), met.alias("y")
     fits = (F.col("x.size") >= threshold * F.col("y.size")) & (F.col("y.size") >= threshold * F.col("x.size"))
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))

@@ -167,15 +167,19 @@ def test_near_duplicates(spark, threshold):
 
 
 def test_a_band_of_many_is_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    for name, least in (("BLOCK", 7), ("SAMPLED", 1), ("SEEN", 2)):
+        monkeypatch.setattr(near_duplicates, name, least)
     draw = random.Random(9)
     base = [f"w{i}" for i in range(80)]
     rows = [(f"p{i:02d}", " ".join(w if draw.random() > 0.01 else f"x{draw.randrange(9)}" for w in base)) for i in range(40)] + [("c" + k, t) for k, t in corpus(20, 5)]
     got = {(r.a, r.b) for r in near_duplicates.near_duplicate_pairs(programs(spark, rows), "ProgramID", "Content", 0.8, recall=0.9999).collect()}
     assert got == jaccard(rows, 5, 0.8)
     keyed = spark.createDataFrame([(f"r{i:03d}", 5, 1) for i in range(100)] + [("r000", 5, 2)], "rep string, size long, band long")
-    met = near_duplicates.blocked(keyed)
-    assert met.where("band = 2").count() == 0
+    common = near_duplicates.common_bands(keyed.groupBy(F.col("rep").alias("k")).agg(F.collect_list("band").alias("bands")))
+    assert [r.band for r in common.collect()] == [1]
+    met = near_duplicates.blocked(keyed, common)
+    assert [tuple(r) for r in met.where("band = 2").select("block", "lo", "hi").collect()] == [(0, 0, 0)]
+    met = met.where("band = 1")
     sizes = [r["count"] for r in met.groupBy("band", "lo", "hi").count().collect()]
     assert len(sizes) > 60 and max(sizes) < 60
     x, y = met.alias("x"), met.alias("y")
