@@ -85,4 +85,5 @@ READ_LOOP = r"for\s*\([^;]*;\s*([a-zA-Z_]\w*)\s*<\s*([a-zA-Z_]\w*)\s*;[^)]*\)"
 STRATEGIES = ("random", "boundary", "edge", "heuristic")
 EDGE_NUMBERS = ("0", "-1", "999999999", "-999999999")
 HEURISTIC_MODES = ("boundary", "zero", "small", "random")
+HEURISTIC_BOUNDARIES = (0, 1, -1, 255, -255, 1000000, -1000000)
 SMALL_REACH, RANDOM_REACH, REAL_REACH, TEXT_REACH = 100, 10_000, 1000.0, 1000

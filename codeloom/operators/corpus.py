@@ -42,6 +42,12 @@ def classify(src: DataFrame, *keep: str) -> DataFrame:
     return fenced(rows, [*keep, "path"], ["framework", "entry"]).select(*keep, "path", kind.alias("program_type"), "framework", "entry")
 
 
+def type_table(classes: DataFrame, dependency: DataFrame) -> DataFrame:
+    """(path, File, program_type, compile_eligible) of all classes; ``dependency`` (path, File) is a class of its own."""
+    rows = classes.select("path", "File", "program_type").unionByName(dependency.select("path", "File", F.lit("dependency").alias("program_type")))
+    return rows.withColumn("compile_eligible", F.when(F.col("program_type") == "executable", "TRUE").otherwise("FALSE"))
+
+
 def unresolved(src: DataFrame, listing: DataFrame, reported: bool) -> DataFrame:
     """(path): sources with a local include that no file answers: not next to it, not by path, not by name anywhere.
 

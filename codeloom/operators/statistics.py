@@ -93,12 +93,19 @@ def tokens_a(summary: DataFrame) -> DataFrame:
 def errors_a(detail: DataFrame) -> DataFrame:
     """(kind, label, n): error types and categories of programs with the prefix, without fallback."""
     rows = detail.where(F.startswith("Program", F.lit(PREFIX)))
-    types = rows.where("ErrorType <> '' and ErrorType <> 'None'").groupBy(F.col("ErrorType").alias("label")).agg(F.count("*").alias("n")).select(F.lit("type").alias("kind"), "label", "n")
+    error = _pick(detail, "ErrorType").cast("string")
+    types = rows.select(error.alias("label")).where("label not in ('', 'None')").groupBy("label").agg(F.count("*").alias("n")).select(F.lit("type").alias("kind"), "label", "n")
     category = _pick(detail, "ErrorCategory", "FinalErrorType").cast("string")
     categories = rows.select(category.alias("label")).where("label not in ('', 'None', 'none')").groupBy("label").agg(F.count("*").alias("n")).select(F.lit("category").alias("kind"), "label", "n")
     return types.unionByName(categories)
 
 
+def _error(detail: DataFrame) -> Column:
+    """The error type of a round, null for none; a table without the column has unknown errors in every round."""
+    error = F.col("ErrorType") if "ErrorType" in detail.columns else F.lit("Unknown")
+    return F.when((error != "") & (error != "None"), error)
+
+
 def last_rows(summary: DataFrame) -> DataFrame:
     """One row per program: of repeated ones the greatest by (TotalTime, the other columns in order). Row order is not
     reproducible, so it cannot decide."""
@@ -112,7 +119,7 @@ def programs_b(summary: DataFrame, detail: DataFrame) -> DataFrame:
     s = last_rows(summary).select("Program", *[L.strict_bool(F.col(a)).alias(b) for a, b in (("InitialCompilePass", "initial_compile"), ("FinalCompilePass", "final_compile"), ("RuntimePass", "runtime"), ("FunctionalPass", "functional"))], L.strict_int(F.col("RepairRounds")).alias("repair_rounds"), _double(summary, "TotalTime").alias("total_time"))
     times = [(n, _above(_double(detail, n))) for n in ("TranslationTime", "CompileTime", "RuntimeTime", "ValidationTime", "RepairTime") if n in detail.columns]
     tests = F.coalesce(_pick(detail, "GeneratedTestCount").cast("bigint"), F.lit(0))
-    error = (F.col("ErrorType") != "") & (F.col("ErrorType") != "None")
+    error = _error(detail).isNotNull()
     d = detail.groupBy("Program").agg(F.count("*").alias("rounds"), F.count_if(error).alias("errors"), F.sum(tests).alias("tests"), *[F.sum(c).alias(f"sum_{n}") for n, c in times], *[F.count(c).alias(f"n_{n}") for n, c in times])
     out = s.join(d, "Program", "full_outer")
     flags = {c: F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("initial_compile", "final_compile", "runtime", "functional")}
@@ -140,7 +147,7 @@ def aggregate_b(programs: DataFrame) -> DataFrame:
 
 def distributions_b(programs: DataFrame, detail: DataFrame) -> DataFrame:
     """(section, label, n): error types over all rounds; repair rounds over programs that had any round or repair."""
-    errors = detail.where("ErrorType <> '' and ErrorType <> 'None'").groupBy(F.col("ErrorType").alias("label")).agg(F.count("*").alias("n"))
+    errors = detail.select(_error(detail).alias("label")).where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
     repair = programs.where("repair_rounds > 0 or rounds > 0").groupBy(F.col("repair_rounds").cast("string").alias("label")).agg(F.count("*").alias("n"))
     return errors.select(F.lit("error").alias("section"), "label", "n").unionByName(repair.select(F.lit("repair").alias("section"), "label", "n"))
 
@@ -154,9 +161,40 @@ def report_long(programs: DataFrame, detail: DataFrame) -> DataFrame:
     return agg.unionByName(dist).unionByName(per)
 
 
+#: The names of the summary, with the columns and the format of each value.
+SUMMARY_TABLE = (
+    ("Programs", "%d", "total_programs"),
+    ("Compile Success", "%d/%d (%.1f%%)", "compile_pass", "total_programs", "compile_success_rate"),
+    ("Runtime Success", "%d/%d (%.1f%%)", "runtime_pass", "total_programs", "runtime_success_rate"),
+    ("Functional Success", "%d/%d (%.1f%%)", "functional_pass", "total_programs", "functional_success_rate"),
+    ("Overall Success", "%d/%d (%.1f%%)", "overall_success", "total_programs", "overall_success_rate"),
+    ("Avg Translation Time", "%.2fs", "avg_translation_time"),
+    ("Avg Compile Time", "%.4fs", "avg_compile_time"),
+    ("Avg Runtime", "%.4fs", "avg_runtime_time"),
+    ("Avg Validation Time", "%.4fs", "avg_validation_time"),
+    ("Avg Total Time", "%.2fs", "avg_total_time"),
+    ("Avg Repair Rounds", "%.2f", "avg_repair_rounds"),
+    ("Programs Repaired", "%d", "programs_repaired"),
+    ("Repair Gain", "%d", "repair_success_gain"),
+    ("Avg Generated Tests", "%.1f", "avg_generated_tests"),
+    ("Avg Executed Tests", "%.1f", "avg_executed_tests"),
+    ("Avg Passed Tests", "%.1f", "avg_passed_tests"),
+    ("Avg Test Success Rate", "%.1f%%", "avg_test_success_rate"),
+)
+
+
+def summary_table(summary: DataFrame, detail: DataFrame) -> DataFrame:
+    """(place, metric, value): the figures of engine A as named and formatted text. Four rows of one line each are put side by side."""
+    one = rates_a(summary)
+    for more in (timing_a(summary, detail), repair_a(summary), tests_a(summary)):
+        one = one.crossJoin(F.broadcast(more))
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(name).alias("metric"), F.format_string(form, *columns).alias("value")) for i, (name, form, *columns) in enumerate(SUMMARY_TABLE)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def top_errors(detail: DataFrame, n: int = 12) -> DataFrame:
     """The most frequent error types with their share of all errors in percent and a text bar."""
-    counts = detail.where("ErrorType <> '' and ErrorType <> 'None'").groupBy("ErrorType").agg(F.count("*").alias("n"))
+    counts = detail.select(_error(detail).alias("ErrorType")).where("ErrorType is not null").groupBy("ErrorType").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     out = counts.orderBy(F.desc("n"), "ErrorType").limit(n).crossJoin(F.broadcast(total))
     share = F.col("n") * 100.0 / F.col("total")

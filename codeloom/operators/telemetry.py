@@ -29,6 +29,31 @@ def rolling_mean(df: DataFrame, key: str, order: list[str], value: str, rows: in
     return df.where(F.col(value) > 0).withColumn("rolling", F.avg(value).over(w))
 
 
+def session_totals(calls: DataFrame) -> DataFrame:
+    """One row of all calls (prompt, completion, seconds, retries): their number, retries, tokens in three sums, and time."""
+    return calls.agg(*_call_sums(), F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("elapsed"))
+
+
+def program_totals(calls: DataFrame, key: str) -> DataFrame:
+    """The same sums of tokens per program, without retries and time, which only a session counts."""
+    return calls.groupBy(key).agg(*_call_sums())
+
+
+def _call_sums() -> list[Column]:
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return [F.count("*").alias("calls"), total("prompt").alias("prompt_tokens"), total("completion").alias("completion_tokens"), total(F.col("prompt") + F.col("completion")).alias("total_tokens")]
+
+
+def last_messages(log: DataFrame, key: str, order: list[str], message: str, n: int = 5, width: int = 120) -> DataFrame:
+    """(key, place, message): the last ``n`` messages of each key in their order, cut to ``width`` characters. Each salted part keeps
+    its own last ones before they are ranked together, so a key with very many messages is no single sort."""
+    last = [F.desc(c) for c in order]
+    salted = log.withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(32)))
+    few = salted.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy(*last))).where(F.col("_r") <= n)
+    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*last))).where(F.col("_r") <= n)
+    return ranked.select(key, (n - F.col("_r") + 1).alias("place"), F.substring(message, 1, width).alias("message"))
+
+
 def progress(done: Column, total: Column, seconds: Column, mean: Column) -> dict[str, Column]:
     """Percent rounded down, what remains, seconds to go by the mean time, and throughput per minute."""
     left = F.greatest(total - done, F.lit(0))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import control, corpus, experiments, runs
+from codeloom.plans import control, corpus, experiments, files, runs
 
-PARTS = (corpus, experiments, runs, control)
+PARTS = (corpus, experiments, runs, control, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

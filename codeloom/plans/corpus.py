@@ -71,15 +71,23 @@ def unresolved_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources with includes that nothing answers, as the original reports them (none) and as they are."""
     src = _sources(spark, sf_dir)
     listing = table(spark, sf_dir, "raw_sources").select(F.col("OriginalPath").alias("path"))
-    mark = lambda reported: C.unresolved(src, listing, reported).withColumn("dep_reported" if reported else "dep_actual", F.lit(True))
-    out = src.select("path").join(mark(True), "path", "left").join(mark(False), "path", "left")
-    return out.na.fill(False, ["dep_reported", "dep_actual"])
+    actual = C.unresolved(src, listing, False).withColumn("dep_actual", F.lit(True))
+    # With strings blanked no include is left, so that column needs no scan.
+    return src.select("path").join(actual, "path", "left").select("path", F.lit(False).alias("dep_reported"), F.coalesce("dep_actual", F.lit(False)).alias("dep_actual"))
 
 
 def program_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.classify(_sources(spark, sf_dir), "File").select("path", F.col("File").alias("rel"), "program_type")
 
 
+def program_type_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per class and file, with the class of files with unanswered includes, which may be in another one, too. Only
+    executables are compiled."""
+    src = _sources(spark, sf_dir)
+    listing = table(spark, sf_dir, "raw_sources").select(F.col("OriginalPath").alias("path"))
+    return C.type_table(C.classify(src, "File"), src.select("path", "File").join(C.unresolved(src, listing, False), "path", "left_semi"))
+
+
 def filter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = _sources(spark, sf_dir)
     listing = table(spark, sf_dir, "raw_sources").select(F.col("OriginalPath").alias("path"))
@@ -192,7 +200,7 @@ def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     line_counts, structure_counts, complexity, nesting_depth, stl_usage, content_hashes, entry_points, test_frameworks, local_includes, unresolved_deps, program_types, filter_report,
     dedup_report, dedup_summary, repository_scan, corpus_totals, url_owner, path_provenance, compile_fields, compile_verdicts, compile_pass_rate, copy_plan, benchmark_ids, source_mapping,
-    metadata, dataset_summary, loc_histogram, dataset_distribution, top_repositories, class_distribution,
+    program_type_table, metadata, dataset_summary, loc_histogram, dataset_distribution, top_repositories, class_distribution,
 )
 
 
@@ -281,6 +289,7 @@ SQL = {
     "local_includes": f"WITH {_SRC} SELECT path, include, count(*) AS n FROM inc GROUP BY ALL",
     "unresolved_deps": f"WITH {_SRC} SELECT path, false AS dep_reported, path IN (SELECT path FROM dep) AS dep_actual FROM src",
     "program_types": f"WITH {_SRC} SELECT * FROM classes",
+    "program_type_table": f"WITH {_SRC} SELECT path, rel AS File, program_type, CASE WHEN program_type = 'executable' THEN 'TRUE' ELSE 'FALSE' END AS compile_eligible FROM classes UNION ALL SELECT path, File, 'dependency', 'FALSE' FROM raw_sources JOIN dep ON path = OriginalPath",
     "filter_report": f"""WITH {_SRC}, n AS (SELECT count(*) FILTER (program_type = 'executable') AS e, count(*) FILTER (program_type = 'library') AS l, count(*) FILTER (program_type = 'test') AS t, (SELECT count(*) FROM dep) AS d FROM classes)
       SELECT unnest(['OriginalCPPFiles', 'ExecutablePrograms', 'Remove_LibraryFiles', 'Remove_TestFiles', 'Remove_DependencyFiles', 'Remaining_BenchmarkPrograms', 'FilterRate', 'distinct_total']) AS metric,
       unnest([(e + l + t + d)::DOUBLE, e::DOUBLE, l::DOUBLE, t::DOUBLE, d::DOUBLE, e::DOUBLE, e * 100.0::DOUBLE / greatest(e + l + t + d, 1), (e + l + t)::DOUBLE]) AS value FROM n""",

@@ -51,6 +51,17 @@ def stats_a_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.errors_a(_detail(spark, sf_dir))
 
 
+def stats_summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named and formatted figures of a report."""
+    return S.summary_table(_summary(spark, sf_dir), _detail(spark, sf_dir))
+
+
+def errors_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distributions of a detail table without error types: every round's error is unknown."""
+    detail = _detail(spark, sf_dir).drop("ErrorType")
+    return S.distributions_b(S.programs_b(_summary(spark, sf_dir), detail), detail).where("section = 'error'")
+
+
 def stats_b_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.aggregate_b(S.programs_b(_summary(spark, sf_dir), _detail(spark, sf_dir))))
 
@@ -86,7 +97,7 @@ def repository_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.repository_success(table(spark, sf_dir, "benchmark_dataset"), _summary(spark, sf_dir)))
 
 
-QUERIES = (stats_a_rates, stats_a_timing, stats_a_repair, stats_a_repair_distribution, stats_a_tests, stats_a_tokens, stats_a_errors, stats_b_rates, stats_b_per_program, stats_b_distributions, report_long, top_errors, stage_success, findings, repository_success)
+QUERIES = (stats_a_rates, stats_a_timing, stats_a_repair, stats_a_repair_distribution, stats_a_tests, stats_a_tokens, stats_a_errors, stats_b_rates, stats_b_per_program, stats_b_distributions, report_long, top_errors, stage_success, findings, repository_success, stats_summary_table, errors_unknown)
 
 _TRIM = f"lower(trim({{0}}, {_SPACE}))"
 _BOOL = lambda c, words: f"coalesce({_TRIM.format(c)} IN ({', '.join(repr(w) for w in words)}), false)"
@@ -140,6 +151,13 @@ SQL = {
     "report_long": f"WITH {_PROGRAMS}, a AS (SELECT " + ", ".join(f"round(({s})::DOUBLE, 6) AS {n}" for n, s in _AGG.items()) + f" FROM p) SELECT 'aggregate' AS section, unnest([{', '.join(repr(n) for n in _AGG)}]) AS key, unnest([{', '.join(_AGG)}]) AS value FROM a UNION ALL SELECT section, label, n::DOUBLE FROM ({_DIST}) UNION ALL SELECT 'program', Program, round(total_time, 6) FROM p",
     "top_errors": f"WITH e AS ({_ERRORS}), t AS (SELECT *, n * 100.0::DOUBLE / sum(n) OVER () AS share FROM e) SELECT ErrorType, n, round(share, 6) AS share, repeat('█', floor(share / 5)::INT) AS bar FROM t ORDER BY n DESC, ErrorType LIMIT 12",
     "stage_success": _STAGES,
+    "errors_unknown": "SELECT 'error' AS section, 'Unknown' AS label, count(*) AS n FROM experiment_results",
+    "stats_summary_table": f"""WITH {_RATES}, {_DETAIL}, r AS (SELECT *, {_INT_A} AS rr FROM s),
+      o AS (SELECT count({_POS('rr')}) AS repaired, count(*) FILTER (starts_with(Program, 'program_') AND NOT {_A('InitialCompilePass')} AND {_A('FunctionalPass')}) AS gain, coalesce(avg({_POS('TranslationTime')}), 0.0) AS tt, coalesce(avg({_POS('ValidationTime')}), 0.0) AS vt, coalesce(avg({_POS('TotalTime')}), 0.0) AS xt, coalesce(avg({_POS('rr')}), 0.0) AS mr, coalesce(avg({_POS('GeneratedTestCount')}), 0.0) AS gt, coalesce(avg({_POS('ExecutedTestCount')}), 0.0) AS et, coalesce(avg({_POS('PassedTestCount')}), 0.0) AS pt, coalesce(avg({_POS('SuccessRate')}), 0.0) AS sr FROM r),
+      e AS (SELECT coalesce(avg({_POS('CompileTime')}), 0.0) AS ct, coalesce(avg({_POS('RuntimeTime')}), 0.0) AS rt FROM d)
+      SELECT unnest(range(17))::INT AS place, unnest([{', '.join(repr(x[0]) for x in S.SUMMARY_TABLE)}]) AS metric, unnest([total_programs::VARCHAR,
+        {', '.join(f"{c} || '/' || total_programs || ' (' || printf('%.1f', {c} * 100.0::DOUBLE / greatest(total_programs, 1)) || '%)'" for c in ('compile_pass', 'runtime_pass', 'functional_pass', 'overall_success'))},
+        printf('%.2fs', tt), printf('%.4fs', ct), printf('%.4fs', rt), printf('%.4fs', vt), printf('%.2fs', xt), printf('%.2f', mr), repaired::VARCHAR, gain::VARCHAR, printf('%.1f', gt), printf('%.1f', et), printf('%.1f', pt), printf('%.1f', sr * 100) || '%']) AS value FROM n, o, e""",
     "findings": f"SELECT stage, CASE WHEN rate >= 90 THEN 'high' WHEN rate > 0 THEN 'some' ELSE 'none' END AS level FROM ({_STAGES})",
     "repository_success": f"WITH l AS ({_LAST}), r AS (SELECT l.*, coalesce(b.Repository, 'unknown') AS repository, {_B('FinalCompilePass')} AND {_B('RuntimePass')} AND {_B('FunctionalPass')} AS ok, {_INT_B} AS rr FROM l LEFT JOIN benchmark_dataset b ON ProgramID = Program) SELECT repository, count(*) AS programs, count(*) FILTER (ok) AS successful, round(count(*) FILTER (ok) * 100.0::DOUBLE / count(*), 6) AS rate, round(coalesce(avg({_POS('TotalTime')}), 0.0), 6) AS avg_time, sum(rr)::BIGINT AS repairs FROM r GROUP BY 1",
 }

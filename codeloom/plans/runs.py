@@ -91,12 +91,31 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "ts", F.col("user_id").alias("session"), "event_type", "value", (F.col("event_type") != "error").alias("ok"), (F.col("event_id") % 5 != 0).alias("retryable"), F.floor(F.abs("value") * 10).cast("bigint").alias("tokens"))
 
 
+def _metered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls with prompt and completion tokens, seconds, and retries."""
+    calls = _calls(spark, sf_dir)
+    prompt = F.floor(F.col("tokens") / 3)
+    return calls.select("session", prompt.alias("prompt"), (F.col("tokens") - prompt).alias("completion"), (F.col("event_id") % 7 / 4.0).alias("seconds"), F.when(F.col("ok"), 0).otherwise(F.col("event_id") % 3).cast("bigint").alias("retries"))
+
+
 def session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _calls(spark, sf_dir).agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    return M.session_totals(_metered(spark, sf_dir))
 
 
 def program_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _calls(spark, sf_dir).groupBy("session").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return M.program_totals(_metered(spark, sf_dir), "session")
+
+
+def last_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five reasons of failures of each run."""
+    rows = table(spark, sf_dir, "experiment_results").where("FailureReason not in ('', 'None') and RunId is not null")
+    rows = rows.select("RunId", "FinishedAt", "Program", "Round", "FailureReason").distinct()
+    return M.last_messages(rows, "RunId", ["FinishedAt", "Program", "Round", "FailureReason"], "FailureReason")
+
+
+def compact_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the drawn failures, which no other engine can draw."""
+    return D.compact_summary(D.judge(_facts(spark, sf_dir)), drawn=0)
 
 
 def running_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +188,7 @@ def adaptive_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     diff_results, diff_report, representative_failures, representative_failures_drawn, mismatch_detail, failure_lines, exec_cache_keys, case_budgets, edge_cases, clamped_boundaries,
-    input_structures, generated_cases, session_totals, program_tokens, running_tokens, last_call, rolling_eta, success_runs, phase_timing, cache_stats, translation_cache, resume_remaining,
+    input_structures, generated_cases, session_totals, program_tokens, last_errors, compact_summaries, running_tokens, last_call, rolling_eta, success_runs, phase_timing, cache_stats, translation_cache, resume_remaining,
     retry_classes, retry_backoff, adaptive_limit,
 )
 
@@ -198,8 +217,26 @@ SQL = {
     "case_budgets": "WITH c AS (SELECT DISTINCT coalesce(GeneratedTestCount, 0) AS count FROM summary_results), e AS (SELECT count, greatest(count // 4, 1) AS each FROM c) SELECT count, unnest(['random', 'boundary', 'edge', 'heuristic', 'llm']) AS strategy, unnest([each + (0 < count - each * 4)::INT, each + (1 < count - each * 4)::INT, each + (2 < count - each * 4)::INT, each + (3 < count - each * 4)::INT, greatest(count // 4, 1)]) AS budget FROM e",
     "edge_cases": "SELECT p_partkey AS i, [" + ", ".join(_q(x.rstrip("\n")) + " || chr(10)" for x in X.EDGE_INPUTS) + f"][p_partkey % {len(X.EDGE_INPUTS)} + 1] AS input FROM part",
     "clamped_boundaries": f"WITH v AS (SELECT p_partkey AS i, {list(X.BOUNDARY_VALUES)}[p_partkey % {len(X.BOUNDARY_VALUES)} + 1]::BIGINT AS v FROM part) SELECT i, greatest(-32768, least(32767, v)) AS short, v AS int, v AS long FROM v",
-    "session_totals": f"WITH {_CALLS} SELECT count(*) AS calls, count(*) FILTER (NOT ok) AS failed, sum(tokens)::BIGINT AS tokens FROM c",
-    "program_tokens": f"WITH {_CALLS} SELECT session, count(*) AS calls, sum(tokens)::BIGINT AS tokens, min(ts) AS first_seen, max(ts) AS last_seen FROM c GROUP BY 1",
+    "session_totals": f"WITH {_CALLS} SELECT count(*) AS calls, sum(tokens // 3)::BIGINT AS prompt_tokens, sum(tokens - tokens // 3)::BIGINT AS completion_tokens, sum(tokens)::BIGINT AS total_tokens, sum(CASE WHEN ok THEN 0 ELSE event_id % 3 END)::BIGINT AS retries, sum((event_id % 7) / 4.0::DOUBLE) AS elapsed FROM c",
+    "program_tokens": f"WITH {_CALLS} SELECT session, count(*) AS calls, sum(tokens // 3)::BIGINT AS prompt_tokens, sum(tokens - tokens // 3)::BIGINT AS completion_tokens, sum(tokens)::BIGINT AS total_tokens FROM c GROUP BY 1",
+    "last_errors": "WITH e AS (SELECT DISTINCT RunId, FinishedAt, Program, Round, FailureReason FROM experiment_results WHERE FailureReason NOT IN ('', 'None') AND RunId IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY RunId ORDER BY FinishedAt DESC NULLS LAST, Program DESC NULLS LAST, Round DESC NULLS LAST, FailureReason DESC) AS i FROM e) SELECT RunId, (6 - i)::INT AS place, substr(FailureReason, 1, 120) AS message FROM r WHERE i <= 5",
+    "compact_summaries": f"""WITH {_FACTS}, s AS (SELECT program, test_index FROM x WHERE n <= 8 UNION ALL SELECT program, test_index FROM x WHERE n > 8 AND i = 1 UNION ALL SELECT program, test_index FROM short UNION ALL SELECT program, test_index FROM long),
+      t AS (SELECT program, count(*) AS shown, string_agg('  Test ' || test_index || ': input=''' || trim(test_input) || ''' | expected=''' || replace(coalesce(expected, oracle_output, ''), chr(10), '\\n') || ''' | got=''' || replace(coalesce(candidate_output, ''), chr(10), '\\n') || '''', chr(10) ORDER BY test_index) AS body FROM r JOIN s USING (program, test_index) GROUP BY 1),
+      c AS (SELECT program, count(*) FILTER (oracle_ok AND NOT passed) AS failed, count(*) FILTER (NOT oracle_ok) AS skipped FROM r GROUP BY 1)
+      SELECT c.program, CASE WHEN failed = 0 THEN CASE WHEN skipped > 0 THEN 'All validated tests passed (' || skipped || ' oracle failures skipped).' ELSE 'All tests passed.' END ELSE
+        concat_ws(chr(10), 'FAILED TEST CASES (' || shown || ' shown of ' || failed || ' total):', body, CASE WHEN failed > shown THEN '  ... (' || (failed - shown) || ' more failures omitted — the ' || shown || ' most representative are shown above)' END) END AS text FROM c LEFT JOIN t USING (program)""",
+    "input_structures": f"""WITH c AS (SELECT ProgramID, regexp_replace(regexp_replace(regexp_replace(Content, '\\r\\n?', chr(10), 'g'), {_q(X.BLOCK_COMMENT)}, ' ', 'gs'), {_q(X.LINE_COMMENT)}, ' ', 'g') AS t FROM benchmark_dataset WHERE Content IS NOT NULL),
+      d AS (SELECT ProgramID, unnest(regexp_extract_all(t, {_q(X.READ_DECLARATION)}, 1)) AS kind, unnest(regexp_extract_all(t, {_q(X.READ_DECLARATION)}, 2)) AS rest, generate_subscripts(regexp_extract_all(t, {_q(X.READ_DECLARATION)}, 1), 1) AS i FROM c),
+      k AS (SELECT ProgramID, regexp_extract(rest, '^[a-zA-Z_]\\w*') AS name, replace(arg_max(kind, i), ' ', '') AS kind FROM d GROUP BY 1, 2),
+      s1 AS (SELECT ProgramID, flatten(list_transform(regexp_extract_all(t, {_q(X.READ_SCALARS)}, 1), lambda x: string_split(x, '>>'))) AS l FROM c),
+      s2 AS (SELECT ProgramID, regexp_replace(x, '\\s', '', 'g') AS name, min(i) AS i FROM (SELECT ProgramID, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM s1) GROUP BY 1, 2),
+      s AS (SELECT ProgramID, string_agg(name || ':' || coalesce(kind, 'int'), ',' ORDER BY i) AS scalars FROM s2 LEFT JOIN k USING (ProgramID, name) GROUP BY 1),
+      a1 AS (SELECT ProgramID, regexp_extract_all(regexp_replace(t, {_q(X.READ_LOOP)}, '\\0' || chr(1) || '\\2' || chr(2), 'g'), '\\x01\\w+\\x02|' || {_q(X.READ_ELEMENT)}) AS l FROM c),
+      a2 AS (SELECT ProgramID, i, starts_with(x, chr(1)) AS loop, CASE WHEN starts_with(x, chr(1)) THEN trim(x, chr(1) || chr(2)) ELSE regexp_extract(x, {_q(X.READ_ELEMENT)}, 1) END AS name FROM (SELECT ProgramID, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM a1)),
+      a3 AS (SELECT *, last_value(CASE WHEN loop THEN name END IGNORE NULLS) OVER (PARTITION BY ProgramID ORDER BY i ROWS UNBOUNDED PRECEDING) AS bound FROM a2),
+      a4 AS (SELECT ProgramID, name, min(i) AS i, arg_min(coalesce('<' || bound, ''), i) AS bound FROM a3 WHERE NOT loop GROUP BY 1, 2),
+      a AS (SELECT ProgramID, string_agg(name || ':' || coalesce(kind, 'int') || bound, ',' ORDER BY i) AS arrays FROM a4 LEFT JOIN k USING (ProgramID, name) GROUP BY 1)
+      SELECT c.ProgramID, coalesce(scalars, '') AS scalars, coalesce(arrays, '') AS arrays, 0 AS nested FROM c LEFT JOIN s USING (ProgramID) LEFT JOIN a USING (ProgramID)""",
     "running_tokens": f"WITH {_CALLS} SELECT event_id, session, sum(tokens) OVER (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM c",
     "last_call": f"WITH {_CALLS} SELECT session, event_id, event_type, tokens FROM c QUALIFY row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) = 1",
     "rolling_eta": f"""WITH {_CALLS}, s AS (SELECT session, count(*) AS total, min(ts) AS start FROM c GROUP BY 1),

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -61,6 +60,12 @@ def archive_name(limit: int | None, repair: bool) -> str:
     return f"EXP_{limit if limit else 'ALL'}" + "_REPAIR" * repair
 
 
+def archive_name_column(limit: Column, repair: Column) -> Column:
+    """The same of columns; a limit of 0 or null is none."""
+    number = F.when(limit != 0, limit.cast("string"))
+    return F.concat(F.lit("EXP_"), F.coalesce(number, F.lit("ALL")), F.when(repair, "_REPAIR").otherwise(""))
+
+
 def archive(df: DataFrame, root: str, limit: int | None, repair: bool) -> str:
     """Results under their experiment's name; an archive is not overwritten."""
     path = f"{root.rstrip('/')}/{archive_name(limit, repair)}"
@@ -107,14 +112,26 @@ def read_skip_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("program", F.when(old, F.col("v")).otherwise(entry["reason"]).alias("reason"), F.when(old, 1).otherwise(F.coalesce(entry["count"], F.lit(1))).alias("count"), entry["stage"].alias("stage"), entry["first_seen"].alias("first_seen"), entry["last_seen"].alias("last_seen"))
 
 
-def latest_run(root: str) -> str | None:
-    """The newest run below a local folder, by name, that has a csv folder or a results file."""
-    if not os.path.isdir(root):
+def latest_in_listing(paths: DataFrame) -> DataFrame:
+    """(run, results) of a listing (path below the root): the last run by name that has a csv folder or, flat, a results file; and the
+    folder its results are in. One aggregate over however many files."""
+    parts = F.split("path", "/")
+    rows = paths.select(F.get(parts, F.lit(0)).alias("run"), (F.get(parts, F.lit(1)) == "csv").alias("csv"), (F.size(parts) == 2) & (F.get(parts, F.lit(1)) == "experiment_results.csv"))
+    rows = rows.toDF("run", "csv", "flat").where("csv or flat").select("run", (F.col("csv") & F.lit(True)).alias("csv"))
+    last = rows.agg(F.max(F.struct("run", "csv")).alias("r"))
+    return last.select("r.run", F.when(F.col("r.csv"), F.concat_ws("/", "r.run", F.lit("csv"))).otherwise(F.col("r.run")).alias("results"))
+
+
+def latest_run(spark: SparkSession, root: str) -> str | None:
+    """The same for a folder of any file system: names are looked at from the last one on until a run has results."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path(root)):
         return None
-    for name in sorted(os.listdir(root), reverse=True):
-        path = os.path.join(root, name)
-        if os.path.isdir(os.path.join(path, "csv")) or os.path.isfile(os.path.join(path, "experiment_results.csv")):
-            return path
+    for name in sorted((f.getPath().getName() for f in files.listStatus(path(root)) if f.isDirectory()), reverse=True):
+        run = f"{root.rstrip('/')}/{name}"
+        if files.exists(path(f"{run}/csv")) or files.exists(path(f"{run}/experiment_results.csv")):
+            return run
     return None
 
 

@@ -113,18 +113,42 @@ def test_budgets(spark):
 PROGRAM = "int main() { int n; string s; double d[5]; cin >> n >> s; // cin >> z;\n for (int i = 0; i < n; i++) cin >> d[i]; }"
 
 
-def test_structure_and_cases(spark):
-    s = G.analyse(PROGRAM)
-    assert [(r.name, r.kind) for r in s.scalars] == [("n", "int"), ("s", "string")]
-    assert [(r.name, r.kind, r.bound) for r in s.arrays] == [("d", "double", "n")]
-    assert G.analyse("cin >> a[i][j];").nested == []
-    text = G.structured_input(s, random.Random(1), "random").split("\n")
-    assert len(text) == 2 + int(text[0]) + 1 and text[1].startswith("s")
-    df = spark.createDataFrame([("p", PROGRAM), ("q", ""), ("r", None)], "id string, c string")
-    got = G.generate(df, "id", "c", 12).collect()
-    assert {r.id for r in got} == {"p", "q"} and sum(r.id == "p" for r in got) == 12
-    assert got == G.generate(df, "id", "c", 12).collect()
-    assert all(len(r.input) <= X.MAX_INPUT_SIZE for r in got)
+def test_structures(spark):
+    rows = [("p", PROGRAM), ("q", ""), ("r", None), ("g", "cin >> a[i][j];"), ("b", "for (;i < m;) ; for (;j < n;) cin >> x[j]; for (;k < z;) cin >> x[k] ; cin >> y [ i ];"), ("k", "long  long v; cin >> v\n>> w; cin >> v;")]
+    got = {r.id: r for r in G.structures(spark.createDataFrame(rows, "id string, c string"), "id", "c").collect()}
+    assert set(got) == {"p", "q", "g", "b", "k"}
+    assert [tuple(r) for r in got["p"].scalars] == [("n", "int"), ("s", "string")] and [tuple(r) for r in got["p"].arrays] == [("d", "double", "n")]
+    assert [tuple(r) for r in got["g"].arrays] == [("a", "int", None)] and got["g"].nested == []
+    assert [tuple(r) for r in got["b"].arrays] == [("x", "int", "n"), ("y", "int", "z")]
+    assert [tuple(r) for r in got["k"].scalars] == [("v", "longlong"), ("w", "int")]
+
+
+def test_generated_cases_fit_what_is_read(spark):
+    rows = [("p", PROGRAM, None), ("q", "", "5 5\n---\n\n---7"), ("r", None, "1"), ("s", "short v; char c; float f; Foo g; cin >> v >> c >> f;", None)]
+    df = spark.createDataFrame(rows, "id string, c string, told string")
+    got = G.generate(df, "id", "c", 40, (*G.STRATEGIES, "llm"), answer="told").collect()
+    assert got == G.generate(df.repartition(3), "id", "c", 40, (*G.STRATEGIES, "llm"), answer="told").orderBy("id", "case").collect() or sorted(got) == sorted(G.generate(df.repartition(3), "id", "c", 40, (*G.STRATEGIES, "llm"), answer="told").collect())
+    assert {r.id for r in got} == {"p", "q", "s"} and all(len(r.input) <= X.MAX_INPUT_SIZE and r.input.endswith("\n") for r in got)
+    every = G.generate(df, "id", "c", 40).collect()
+    assert {(r.id, r.strategy): n for r, n in ((r, sum((x.id, x.strategy) == (r.id, r.strategy) for x in every)) for r in every)} == {(k, s): 10 for k in "pqs" for s in G.STRATEGIES}
+    assert {r.input for r in got if r.strategy == "llm"} <= {"5 5\n", "7\n"}
+    for r in every:
+        lines = r.input.rstrip("\n").split("\n")
+        if r.id == "p" and r.input not in X.EDGE_INPUTS:
+            assert 1 <= int(lines[0]) <= X.MAX_ARRAY_SIZE and len(lines) == 2 + int(lines[0]) and lines[1].startswith("s") and all("." in x for x in lines[2:])
+        if r.id == "s" and r.strategy == "boundary":
+            assert int(lines[0]) in {max(-32768, min(32767, v)) for v in X.BOUNDARY_VALUES} and len(lines) == 3 and lines[1].islower()
+        if r.strategy == "edge" and r.id != "p":
+            assert r.input in X.EDGE_INPUTS
+    # The boundary values are shuffled once and then go round.
+    shown = {k: [int(r.input.split()[0]) for r in every if (r.id, r.strategy) == (k, "boundary")] for k in "q"}["q"]
+    assert set(shown) == set(X.BOUNDARY_VALUES)
+
+
+def test_mixed_draws_have_seven_boundary_values(spark):
+    rows = spark.range(4000).select(G.value(F.lit("int"), F.lit("heuristic"), F.xxhash64("id"), F.lit(None).cast("bigint")).cast("long").alias("v")).collect()
+    values = [r.v for r in rows]
+    assert {v for v in values if abs(v) > X.RANDOM_REACH} == {1000000, -1000000} and values.count(0) > 900 and 65535 not in values
 
 
 def test_clamp_and_edges(spark):
@@ -182,3 +206,18 @@ def test_progress(spark, seconds, expected):
     made = M.progress(F.lit(1), F.lit(3), F.lit(seconds), F.lit(2.0))
     r = spark.range(1).select(*[c.alias(n) for n, c in made.items()]).first()
     assert (r.percent, r.remaining, r.eta_seconds) == (33, 2, 4.0) and abs(r.per_minute - expected) < 1e-6
+
+
+def test_quoted_as_python_does(spark):
+    texts = ["a", "it's", 'it\'s "x"', 'say "x"', "tab\t nl\n cr\r back\\slash", ""]
+    got = [r.q for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(D.quoted(F.col("t")).alias("q")).collect()]
+    assert got == [repr(t) for t in texts]
+
+
+def test_compact_summary(spark):
+    rows = [("p", i, f"{i}\n", None, True, "1", True, "2" if i < 12 else "1") for i in range(14)] + [("q", 0, "x", "1", False, None, True, "1"), ("q", 1, "x", "1", True, "9", True, "1\n"), ("r", 0, "x", None, True, "1", True, "1")]
+    facts = spark.createDataFrame(rows, "program string, test_index long, test_input string, expected string, oracle_ok boolean, oracle_output string, candidate_ok boolean, candidate_output string")
+    got = {r.program: r.text for r in D.compact_summary(D.judge(facts)).collect()}
+    assert got["q"] == "All validated tests passed (1 oracle failures skipped)." and got["r"] == "All tests passed."
+    lines = got["p"].split("\n")
+    assert lines[0] == "FAILED TEST CASES (5 shown of 12 total):" and lines[1] == "  Test 0: input='0' | expected='1' | got='2'" and len(lines) == 7 and "7 more failures omitted" in lines[-1]

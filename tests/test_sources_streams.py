@@ -51,7 +51,7 @@ def test_lists_and_plans(spark, tmp_path):
 def test_latest_run_and_clone_status(spark, tmp_path):
     for name in ("run_1/csv", "run_2/csv", "run_3"):
         (tmp_path / name).mkdir(parents=True)
-    assert S.latest_run(str(tmp_path)).endswith("run_2") and S.latest_run(str(tmp_path / "no")) is None
+    assert S.latest_run(spark, str(tmp_path)).endswith("run_2") and S.latest_run(spark, str(tmp_path / "no")) is None
     rows = spark.createDataFrame([(0, None), (1, "already exists"), (1, "Repository Not Found"), (1, "x")], "c int, m string").select(S.clone_status(F.col("c"), F.col("m"))).collect()
     assert [r[0] for r in rows] == ["success", "exists", "404", "error"]
 
