@@ -1,39 +1,41 @@
 """Personal data in free text (problem 10): bootstrapped contextual extraction.
 
-Mail addresses, phone numbers, identity numbers and street addresses have forms of their own; names have not, and
-lists of them are not given. Names are found by bootstrapping:
-
-* Candidates are pairs of words that are written like a full name (any order or case), each with the words to the left and to
-  the right of it.
-* Seeds are candidates next to a mail address that is made from them.
-* Patterns are the contexts. In each round Spark scores the graph of contexts and name parts: a context is accepted
-  if enough different names, and most of those it holds, have only known parts; a part becomes known if most
-  of its mentions stand in accepted contexts.
-* Accepted contexts and known parts then discover mentions anywhere, also in lower case.
-
-Identity numbers without a conclusive form are accepted by contexts in the same way: labels are learnt from the numbers
-with a conclusive form.
-
-Contexts and parts are joined as distributed tables. What the second pass over the texts needs to know of them is a Bloom
-filter of fixed size; what passes it is joined exactly.
+Seed entities induce patterns, Spark scores the graph of patterns and instances until nothing new is learnt, and accepted patterns
+discover what no form or list tells. What a seed is, depends on the type:
+
+* Mail addresses and phone numbers have forms of their own.
+* Names: candidates are pairs of words that are written like a full name (any order or case). Seeds stand next to a mail
+  address that is made from them. Patterns are the words to the left and to the right; they are accepted if
+  enough different names, and most of those they hold, have only known parts; a part becomes known if most
+  of its mentions stand in accepted patterns. Patterns and parts then discover mentions anywhere, also in lower case.
+* Street addresses: candidates are house numbers next to capitalised words. Seeds have one of some common words for kinds of
+  streets. Patterns are the words to the left; the head of a candidate ("Bypass", "Carrer", "-gracht") becomes known if most of its
+  mentions stand in accepted patterns, and known heads discover addresses anywhere.
+* Identity numbers: candidates have a form that other numbers have, too. Seeds have a conclusive one. Patterns are the words to the
+  right; labels, the words to the left, become known if they introduce seeds, or candidates in accepted patterns.
+
+Patterns, parts, heads and labels are joined as tables, and broadcast only where their number is small. What the second pass
+over the texts needs to know of the parts is a Bloom filter, built by the executors and never larger than ``MOST_BITS``; what passes it
+is joined exactly.
 
 Defined results: null key or text: left out; a text without personal data gives no row and is kept as it is by
-``redacted``; spans do not overlap (mail address, then address, number, phone, name); the same item twice in one text is
+``redacted``; spans do not overlap (forms, then numbers, addresses, names); the same item twice in one text is
 one row of ``found``; a repeated key is treated as one text after the other.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from functools import cache
+from hashlib import blake2b
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.lineage import stored
 from codeloom.llm.common import checkpointed, keyed_texts, spread, text_groups
 
 TYPES = ("email", "address", "id_number", "phone", "person")
@@ -61,14 +63,13 @@ _DOT = r"(?:\.|[ \t]*[\[({][ \t]*(?:dot|DOT|Dot)[ \t]*[\])}][ \t]*|[ \t]+(?:DOT|
 #: Mail addresses are looked for at what stands for their "@", to the left and to the right.
 AT_SIGN = re.compile(r"@|[\[({][ \t]*(?:at|AT|At|@)[ \t]*[\])}]| AT | at (?=[ \t]*[A-Za-z0-9.-]+[ \t]+dot[ \t])")
 AT_BRACKET = re.compile(r"[\[({][ \t]*(?:at|AT|At)[ \t]*[\])}]")
-LOCAL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*\w)?[ \t]*\Z", re.A)
+_LOCAL_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.+%-"
+_DOT_WORD = re.compile(r"[ \t]dot[ \t]")
 HOST = re.compile(rf"[ \t]*{_HOST}(?:{_DOT}{_HOST})+(?![\w@-])")
-MAX_LOCAL = 80
 #: What makes an address part of a remote: the git user, a path after a colon, or a scheme before it.
 _REMOTE_AFTER = re.compile(r":[\w~][\w./~-]*/|:[\w.-]+\.git|/[\w.-]")
-_REMOTE_BEFORE = re.compile(r"\w://[\w.:-]*$")
 
-#: Words for kinds of streets.
+#: Common words for kinds of streets. Addresses with them are the seeds of all others.
 STREET_AFTER = "Street St Road Rd Lane Ln Avenue Ave Boulevard Blvd Drive Dr Court Ct Square Sq Place Pl Way Terrace Close Crescent Parkway Highway Row".split()
 STREET_BEFORE = "Calle Avenida Rua Plaza Paseo Camino Travessa Avda Av Carrera Praça Largo Estrada Alameda Carretera Via Viale Piazza Corso".split()
 STREET_RUE = "rue avenue boulevard place quai chemin allée impasse cours route Rue Avenue Boulevard Place Quai Chemin Allée Impasse".split()
@@ -107,8 +108,14 @@ def _street_words():
     return automaton
 
 
-#: How far a form reaches to each side of its word.
-ADDRESS_REACH = 120
+#: A house number; and capitalised words right after or right before it.
+HOUSE_NUMBER = re.compile(r"(?<![\w/.:,+–-])" + _HOUSE + r"(?![\w–-])(?![.,:/]\w)")
+_CAPITALISED = f"[{UP}][\\w'’-]*"
+WORDS_AFTER = re.compile(f",?{_S}(?P<kind>[{LOW}]+{_S})?{_CAPITALISED}(?:{_S}{_CAPITALISED}){{0,3}}")
+WORDS_BEFORE = re.compile(f"(?<![\\w'’-]){_CAPITALISED}(?:{_S}(?:(?:de|del|da|do|dos|das|la|las|los|el|of|the|des|du|le|les|van|von|der|den|y|e){_S})*{_CAPITALISED}){{0,3}},?{_S}(?:n[.º°]{_S}?)?\\Z")
+_CAPITAL_WORD = re.compile(f"(?<![\\w'’-]){_CAPITALISED}")
+#: Letters at the end of a compound that tell what kind of street it is.
+HEAD_LETTERS = 6
 
 _NUM_LEFT, _NUM_RIGHT = r"(?<![\w+/.-])(?<!\w[–-])", r"(?![\w])(?![-/.]\w)"
 _G = r"[ .\-/]?"
@@ -138,7 +145,12 @@ NAME = re.compile(
 )
 _TOKEN = re.compile(r"\w+|[^\w\s]|\n")
 _PART = re.compile(f"[{UP}{LOW}]+")
-BLOOM_BITS = 1 << 23
+#: Bits of the filter for each part, and its bounds; beyond them it lets more pass, which costs time and changes nothing.
+BITS_PER_PART, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
+PROBES = 4
+CHUNK = 1 << 16
+#: Rows of patterns, parts, heads or labels, some tens of bytes each, up to which they are broadcast.
+MOST_BROADCAST = 300_000
 
 
 def parts_of(name: str) -> list[str]:
@@ -162,21 +174,39 @@ def contexts(text: str, start: int, end: int) -> tuple[str, str]:
     return " ".join(left), " ".join(right)
 
 
+def _local_part(text: str, least: int, end: int) -> tuple[int, int] | None:
+    """Where the local part of a mail address that ends before ``end`` stands, blanks between them left out."""
+    before = text[least:end].rstrip(" \t")
+    run = len(before) - len(before.rstrip(_LOCAL_SIGNS))
+    local = before[len(before) - run :]
+    if not local or not local[0].isalnum() or not (local[-1].isalnum() or local[-1] == "_"):
+        return None
+    return least + len(before) - run, least + len(before)
+
+
+def _after_scheme(text: str, least: int, start: int) -> bool:
+    """Whether what stands before is the scheme of a URL, maybe with a user's name."""
+    while start > least and (text[start - 1].isalnum() or text[start - 1] in "_.:-"):
+        start -= 1
+    return text.endswith("://", least, start + 1) or text.endswith("//", least, start) and text[start - 3 : start - 2] == ":"
+
+
 def emails(text: str) -> list[tuple[int, int]]:
-    out = []
+    out: list[tuple[int, int]] = []
     # The pattern has to look at every blank; most texts have none of what it can find.
-    if "@" not in text and " AT " not in text and " dot " not in text and not AT_BRACKET.search(text):
+    if "@" not in text and " AT " not in text and not (" at " in text and _DOT_WORD.search(text)) and not AT_BRACKET.search(text):
         return out
+    last = 0
     for at in AT_SIGN.finditer(text):
-        from_ = max(0, at.start() - MAX_LOCAL)
-        local = LOCAL.search(text, from_, at.start())
+        least, last = last, at.start()
+        local = _local_part(text, max(0, least), at.start())
         host = HOST.match(text, at.end())
-        if not local or not host or (local.start() == from_ > 0):
+        if not local or not host:
             continue
-        if _REMOTE_AFTER.match(text, host.end()) or _REMOTE_BEFORE.search(text, max(0, local.start() - 60), local.start()) or local[0].strip() == "git":
+        if _REMOTE_AFTER.match(text, host.end()) or _after_scheme(text, least, local[0]) or text[local[0] : local[1]] == "git":
             continue
-        if not out or local.start() >= out[-1][1]:
-            out.append((local.start(), host.end()))
+        if not out or local[0] >= out[-1][1]:
+            out.append((local[0], host.end()))
     return out
 
 
@@ -198,14 +228,9 @@ def fixed_forms(text: str) -> list[tuple[str, int, int, bool]]:
         put("email", a, b)
     for i in sorted({i for _, of in _street_words().iter(text) for i in of}):
         _, word, form = ADDRESSES[i]
-        at = 0
-        while w := word.search(text, at):
-            at = w.end()
-            if w[0].endswith(".") and text[w.start() - 1 : w.start()].isalpha():
-                continue
-            for m in form.finditer(text, max(0, w.start() - ADDRESS_REACH), w.end() + ADDRESS_REACH):
+        if any(not (w[0].endswith(".") and text[w.start() - 1 : w.start()].isalpha()) for w in word.finditer(text)):
+            for m in form.finditer(text):
                 put("address", *m.span())
-                at = max(at, m.end())
     for run in NUMBERISH.finditer(text):
         for m in _numbers(ID_STRONG, text, run):
             put("id_number", *m.span())
@@ -260,25 +285,75 @@ def names(text: str, taken: list[tuple[str, int, int, bool]]) -> list[tuple[int,
     return out
 
 
-def bloom(keys: list[str]) -> np.ndarray:
-    bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
+def address_candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, head) of house numbers with capitalised words next to them. Where several words before a number could begin the
+    street's name, each is a candidate."""
+    last = 0
+    for m in HOUSE_NUMBER.finditer(text):
+        least, last = last, m.end()
+        if after := WORDS_AFTER.match(text, m.end()):
+            if _free(taken, m.start(), after.end()):
+                head = after["kind"] or text[after.start() : after.end()].rsplit(None, 1)[-1]
+                yield m.start(), after.end(), head.strip().lower()
+        before = text[least : m.start()].rstrip(" \t\r\n,nº°.")
+        word = before[-60:].rsplit(None, 1)[-1:]
+        if not word or not word[0].lstrip("(\"'«“")[:1].isupper():
+            continue
+        from_ = max(least, text.rfind("\n\n", least, m.start()))
+        line = text[from_ : m.start()]
+        if run := WORDS_BEFORE.search(line):
+            words = list(_CAPITAL_WORD.finditer(line, run.start()))
+            for w in words:
+                if _free(taken, from_ + w.start(), m.end()):
+                    alone = len(words) == 1 or w is words[-1]
+                    yield from_ + w.start(), m.end(), ("-" + w[0].lower()[-HEAD_LETTERS:] if alone and len(w[0]) > HEAD_LETTERS else w[0].lower())
+
+
+def bloom(keys: list[str], n_bits: int = LEAST_BITS) -> np.ndarray:
+    bits = np.zeros(n_bits // 8, dtype=np.uint8)
     for k in keys:
-        add_to_bloom(bits, k)
+        for p in positions(k, n_bits):
+            bits[p >> 3] |= 1 << (p & 7)
     return bits
 
 
-def _positions(key: str) -> tuple[int, int]:
-    raw = key.encode()
-    return zlib.crc32(raw) % BLOOM_BITS, zlib.crc32(raw, 0x5BD1E995) % BLOOM_BITS
+def positions(key: str, n_bits: int) -> list[int]:
+    """Places of a key, from two independent hashes."""
+    h = int.from_bytes(blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "little")
+    a, b = h & 0xFFFFFFFFFFFFFFFF, h >> 64 | 1
+    return [(a + i * b) % n_bits for i in range(PROBES)]
 
 
-def add_to_bloom(bits: np.ndarray, key: str) -> None:
-    for p in _positions(key):
-        bits[p >> 3] |= 1 << (p & 7)
+def in_bloom(bits: np.ndarray, key: str) -> bool:
+    return all(bits[p >> 3] >> (p & 7) & 1 for p in positions(key, len(bits) * 8))
 
 
-def in_bloom(bits: np.ndarray, key: str) -> bool:
-    return all(bits[p >> 3] >> (p & 7) & 1 for p in _positions(key))
+def built_bloom(keys: DataFrame, count: int) -> np.ndarray:
+    """The filter over a table of one column, in chunks by the executors; the driver gets at most ``MOST_BITS``."""
+    n_bits = min(max(LEAST_BITS, 1 << (count * BITS_PER_PART).bit_length()), MOST_BITS)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                for p in positions(k, n_bits):
+                    at = p >> 3
+                    if at // CHUNK not in chunks:
+                        chunks[at // CHUNK] = np.zeros(CHUNK, dtype=np.uint8)
+                    chunks[at // CHUNK][at % CHUNK] |= 1 << (p & 7)
+        for i, c in chunks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], type=pa.int32()), pa.array([c.tobytes()], type=pa.binary())], names=["chunk", "bits"])
+
+    def unite(pdf):
+        out = np.zeros(CHUNK, dtype=np.uint8)
+        for b in pdf["bits"]:
+            out |= np.frombuffer(b, dtype=np.uint8)
+        return pdf[["chunk"]].head(1).assign(bits=out.tobytes())
+
+    bits = np.zeros(max(n_bits // 8, CHUNK), dtype=np.uint8)
+    for r in keys.mapInArrow(fill, "chunk int, bits binary").groupBy("chunk").applyInPandas(unite, "chunk int, bits binary").toLocalIterator():
+        bits[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.bits, dtype=np.uint8)
+    return bits[: n_bits // 8]
 
 
 _MENTION = "k long, type string, start long, end long, item string, sure boolean, left string, right string, parts array<string>"
@@ -299,6 +374,9 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((k, kind, a, b, t[a:b], sure, *contexts(t, a, b), []))
             for a, b, seed in names(t, forms):
                 rows.append((k, "person", a, b, t[a:b], seed, *contexts(t, a, b), sorted(set(parts_of(t[a:b])))))
+            spans = [(a, b) for _, a, b, _ in forms]
+            for a, b, head in address_candidates(t, spans):
+                rows.append((k, "address", a, b, t[a:b], False, *contexts(t, a, b), [head]))
         yield _batch(rows)
 
 
@@ -311,7 +389,7 @@ def _second_pass(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, dtype=np.uint8)
         word, pair = re.compile(rf"(?<![\w–@.+/-]){_WORDS}"), re.compile(_PAIR)
-        before = re.compile(rf"(?<![\w–@.+/-])(?P<a>{_WORDS}),?(?:{_S}[{UP}{LOW}]\.)?{_S}\Z")
+        between = re.compile(rf",?(?:{_S}[{UP}{LOW}]\.)?{_S}")
         plain = re.compile(_WORDS).findall
 
         unknown: set[str] = set()
@@ -333,12 +411,13 @@ def _second_pass(shared):
                     continue
                 spans = [(a, b) for _, a, b, sure in fixed_forms(t) if sure]
                 done = set()
+                earlier: list[re.Match] = []
                 for m in word.finditer(t):
+                    last, earlier = earlier, [m, *earlier[:1]]
                     if not known(m[0]):
                         continue
-                    starts = [m.start()]
-                    if p := before.search(t, max(0, m.start() - 40), m.start()):
-                        starts.append(p.start())
+                    # The word before, or the one before an initial.
+                    starts = [m.start(), *[w.start() for w in last if between.fullmatch(t, w.end(), m.start())]]
                     for at in starts:
                         p = pair.match(t, at)
                         if p and p.end() >= m.end() and p.span() not in done and _free(spans, *p.span()):
@@ -349,76 +428,121 @@ def _second_pass(shared):
     return run
 
 
-def learn(mentions: DataFrame, rounds: int = 3, support: int = 3, precision: float = 0.7) -> tuple[DataFrame, DataFrame]:
+def small(df: DataFrame) -> DataFrame:
+    """``df``, broadcast in joins if it has few rows."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def learn(mentions: DataFrame, support: int = 3, precision: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(parts, patterns): the known name parts and the accepted contexts ``(side, context)`` of names.
 
-    One row per distinct name and context enters; the graph is rescored in every round from the parts known then.
+    One row per distinct name and context enters; the graph is rescored from the parts known then until none is new.
     """
     people = mentions.where("type = 'person' and size(parts) >= 2")
     people = checkpointed(people.groupBy("parts", "left", "right").agg(F.max("sure").alias("seed")))
-    known = people.where("seed").select(F.explode("parts").alias("part")).distinct()
+    known = checkpointed(people.where("seed").select(F.explode("parts").alias("part")).distinct())
     sides = lambda df: df.select("*", F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("context")), F.struct(F.lit("R").alias("side"), F.col("right").alias("context")))).alias("c")).select("*", "c.side", "c.context").drop("c")
-    patterns = None
-    for _ in range(rounds):
-        marks = people.select("parts", "left", "right", F.explode("parts").alias("part")).join(known.withColumn("hit", F.lit(1)), "part", "left")
+    count = known.count()
+    while True:
+        marks = people.select("parts", "left", "right", F.explode("parts").alias("part")).join(small(known.withColumn("hit", F.lit(1))), "part", "left")
         scored = marks.groupBy("parts", "left", "right").agg((F.count("hit") == F.count("*")).alias("positive"))
         graph = sides(scored)
         patterns = checkpointed(graph.groupBy("side", "context").agg(F.count("*").alias("n"), F.sum(F.col("positive").cast("int")).alias("hits")).where((F.col("hits") >= support) & (F.col("hits") >= precision * F.col("n"))).select("side", "context"))
-        placed = graph.join(patterns.withColumn("ok", F.lit(1)), ["side", "context"], "left")
+        placed = graph.join(small(patterns.withColumn("ok", F.lit(1))), ["side", "context"], "left")
         votes = placed.groupBy("parts", "left", "right").agg(F.max("positive").alias("positive"), F.coalesce(F.sum("ok"), F.lit(0)).alias("ok"))
         votes = votes.select(F.explode("parts").alias("part"), ((F.col("ok") > 0) | F.col("positive")).cast("int").alias("yes"))
         fresh = votes.groupBy("part").agg(F.avg("yes").alias("share"), F.sum("yes").alias("yes")).where("share >= 0.6 and yes >= 2").select("part")
         known = checkpointed(known.union(fresh).distinct())
-    return known, patterns
-
-
-def learn_labels(mentions: DataFrame, support: int = 3) -> DataFrame:
-    """Contexts on the left that introduce identity numbers, learnt from those with a conclusive form."""
+        before, count = count, known.count()
+        if count == before:
+            return known, patterns
+
+
+def _words(c: str, n: int) -> Column:
+    """The last ``n`` words of a context, or the first ``-n``, line breaks left out."""
+    words = F.filter(F.split(c, " "), lambda x: x != "\n")
+    some = F.slice(words, 1, -n) if n < 0 else F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), n)
+    return F.array_join(some, " ")
+
+
+def learn_addresses(mentions: DataFrame, support: int = 3, precision: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(contexts, heads): the words to the left that introduce street addresses, and the heads of streets, learnt from addresses of a
+    known form; rescored until no head is new."""
+    rows = mentions.where("type = 'address'").select("item", "left", F.get("parts", F.lit(0)).alias("head"), "sure").groupBy("item", "left", "head").agg(F.max("sure").alias("sure"))
+    rows = rows.withColumn("tails", F.filter(F.array_distinct(F.array(_words("left", 3), _words("left", 2))), lambda c: F.contains(c, F.lit(" "))))
+    rows = checkpointed(rows)
+    heads = rows.where("false").select("head")
+    count = 0
+    while True:
+        marked = rows.join(small(heads.withColumn("hit", F.lit(1))), "head", "left") if count else rows.withColumn("hit", F.lit(None).cast("int"))
+        tails = marked.select("item", (F.col("sure") | F.col("hit").isNotNull()).alias("yes"), F.explode("tails").alias("context"))
+        scored = tails.groupBy("context").agg(F.count_distinct("item").alias("n"), F.count_distinct(F.when(F.col("yes"), F.col("item"))).alias("hits"))
+        contexts = checkpointed(scored.where((F.col("hits") >= support) & (F.col("hits") >= precision * F.col("n"))).select("context"))
+        placed = rows.where("head is not null").select("item", "left", "head", F.explode_outer("tails").alias("context")).join(small(contexts.withColumn("ok", F.lit(1))), "context", "left")
+        votes = placed.groupBy("item", "left", "head").agg(F.max("ok").alias("ok")).groupBy("head").agg(F.count("*").alias("n"), F.count("ok").alias("yes"), F.count_distinct(F.when(F.col("ok") == 1, F.col("item"))).alias("items"))
+        heads = checkpointed(votes.where("items >= 2 and yes >= 0.6 * n").select("head"))
+        before, count = count, heads.count()
+        if count <= before:
+            return contexts, heads
+
+
+def learn_labels(mentions: DataFrame, support: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(labels, contexts): words to the left and to the right of identity numbers, learnt from those with a conclusive form, and from
+    others that stand in what is known; rescored until no label is new. Phone numbers in a context speak against it."""
     ids = mentions.where("type in ('id_number', 'phone')")
-    last = F.element_at(F.split("left", " "), -1)
-    two = F.array_join(F.slice(F.split("left", " "), -2, 2), " ")
-    both = ids.select("item", F.when((F.col("type") == "id_number") & F.col("sure"), 1).otherwise(0).alias("yes"), F.when(F.col("type") == "phone", 1).otherwise(0).alias("no"), F.when(F.size(F.split("left", " ")) > 1, two).otherwise(last).alias("context"))
-    scored = both.groupBy("context").agg(F.countDistinct("item").alias("n"), F.countDistinct(F.when(F.col("yes") == 1, F.col("item"))).alias("hits"), F.countDistinct(F.when(F.col("no") == 1, F.col("item"))).alias("misses"))
-    return scored.where((F.col("hits") >= support) & (F.col("hits") >= 4 * F.col("misses"))).select("context")
-
-
-#: Labels of state papers and tax numbers that introduce a number of any of the weaker forms.
-ID_LABELS = r"(?i)(passport|reisepass|passeport|pasaporte|passaporte|паспорт|steuer|tax|ssn|social security|security no|dni|nie|nif|cpf|rg|инн|снилс|id card|id number|identity|identi|ausweis|documento|document no|national id|insurance|tin|pesel|personnummer|id no|护照|身份证|税号)[^\n]{0,12}$"
-
-
-def detect(df: DataFrame, key: str, text: str, rounds: int = 3) -> DataFrame:
+    rows = ids.select("item", F.when(F.col("type") == "phone", "no").when(F.col("sure"), "yes").otherwise("open").alias("is"), _words("left", 2).alias("label"), _words("right", -2).alias("context"))
+    rows = checkpointed(rows.distinct())
+    labels = rows.where("false").select("label")
+    count = 0
+    while True:
+        marked = rows.join(small(labels.withColumn("hit", F.lit(1))), "label", "left") if count else rows.withColumn("hit", F.lit(None).cast("int"))
+        yes = (F.col("is") == "yes") | (F.col("is") == "open") & F.col("hit").isNotNull()
+        hits, misses = (F.count_distinct(F.when(c, F.col("item"))) for c in (yes, F.col("is") == "no"))
+        contexts = checkpointed(marked.where("context <> ''").groupBy("context").agg(hits.alias("hits"), misses.alias("misses")).where((F.col("hits") >= support) & (F.col("hits") >= 4 * F.col("misses"))).select("context"))
+        placed = rows.where("label <> ''").join(small(contexts.withColumn("ok", F.lit(1))), "context", "left")
+        good = (F.col("is") == "yes") | (F.col("is") == "open") & F.col("ok").isNotNull()
+        counts = placed.groupBy("label").agg(F.count_distinct(F.when(F.col("is") == "yes", F.col("item"))).alias("seeds"), F.count_distinct(F.when(good, F.col("item"))).alias("yes"), F.count_distinct(F.when(F.col("is") == "no", F.col("item"))).alias("no"), F.count_distinct("item").alias("n"))
+        sure = (F.col("seeds") >= support) & (F.col("seeds") >= 4 * F.col("no"))
+        labels = checkpointed(counts.where(sure | (F.col("yes") >= 2) & (F.col("yes") >= 0.7 * F.col("n"))).select("label"))
+        before, count = count, labels.count()
+        if count <= before:
+            return labels, contexts
+
+
+def detect(df: DataFrame, key: str, text: str) -> DataFrame:
     """(k, type, start, end, item): every item found, without overlaps."""
     docs = spread(keyed_texts(df, key, text, "long"))
-    first = checkpointed(docs.mapInArrow(_first_pass, _MENTION))
-    known, patterns = learn(first, rounds)
-    bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
-    for r in known.toLocalIterator(prefetchPartitions=True):
-        add_to_bloom(bits, r.part)
-    shared = df.sparkSession.sparkContext.broadcast(bits.tobytes())
-    second = checkpointed(docs.mapInArrow(_second_pass(shared), _MENTION))
+    first = stored(docs.mapInArrow(_first_pass, _MENTION))
+    known, patterns = learn(first)
+    shared = df.sparkSession.sparkContext.broadcast(built_bloom(known, known.count()).tobytes())
+    second = stored(docs.mapInArrow(_second_pass(shared), _MENTION))
     # Discovered by their parts: every part is known exactly, not only by the filter.
-    parts = second.select("k", "start", "end", "item", "left", "right", F.explode("parts").alias("part")).join(known.withColumn("hit", F.lit(1)), "part", "left")
+    parts = second.select("k", "start", "end", "item", "left", "right", F.explode("parts").alias("part")).join(small(known.withColumn("hit", F.lit(1))), "part", "left")
     parts = parts.groupBy("k", "start", "end", "item", "left", "right").agg(F.count("hit").alias("hits"), F.count("*").alias("n")).where("n >= 2 and hits >= 1")
     by_parts = parts.where("hits = n").select("k", F.lit("person").alias("type"), "start", "end", "item")
     # Discovered by their contexts: accepted on both sides, or on one that is long.
     people = first.where("type = 'person' and size(parts) >= 2")
-    left = patterns.where("side = 'L'").select(F.col("context").alias("left"), F.lit(1).alias("okl"))
-    right = patterns.where("side = 'R'").select(F.col("context").alias("right"), F.lit(1).alias("okr"))
+    left = small(patterns.where("side = 'L'").select(F.col("context").alias("left"), F.lit(1).alias("okl")))
+    right = small(patterns.where("side = 'R'").select(F.col("context").alias("right"), F.lit(1).alias("okr")))
     placed = people.join(left, "left", "left").join(right, "right", "left")
     strong = ((F.col("okl") == 1) & (F.col("okr") == 1)) | ((F.col("okl") == 1) & (F.size(F.split("left", " ")) >= 2)) | ((F.col("okr") == 1) & (F.size(F.split("right", " ")) >= 3))
     by_context = placed.where(strong | F.col("sure")).select("k", "type", "start", "end", "item")
     # With one known part, in any case, both contexts must be accepted.
     half = parts.where("hits < n").join(left, "left").join(right, "right").select("k", F.lit("person").alias("type"), "start", "end", "item")
-    labels = learn_labels(first).withColumn("labelled", F.lit(1))
-    weak = first.where("type = 'id_number' and not sure").withColumn("context", F.array_join(F.slice(F.split("left", " "), -2, 2), " ")).join(labels, "context", "left")
-    weak = weak.where((F.col("labelled") == 1) | F.col("left").rlike(ID_LABELS)).select("k", "type", "start", "end", "item")
+    labels, after = learn_labels(first)
+    numbers = first.where("type = 'id_number' and not sure").withColumn("label", _words("left", 2)).withColumn("context", _words("right", -2))
+    numbers = numbers.join(small(labels.withColumn("okl", F.lit(1))), "label", "left").join(small(after.withColumn("okr", F.lit(1))), "context", "left")
+    weak = numbers.where("okl = 1 or okr = 1").select("k", "type", "start", "end", "item")
+    introduced, heads = learn_addresses(first)
+    streets = first.where("type = 'address' and not sure").withColumn("head", F.get("parts", F.lit(0)))
+    for i, n in enumerate((2, 3)):
+        streets = streets.withColumn("context", _words("left", n)).join(small(introduced.withColumn(f"ok{i}", F.lit(1))), "context", "left").drop("context")
+    streets = streets.join(small(heads.withColumn("okh", F.lit(1))), "head", "left").where("ok0 = 1 or ok1 = 1 or okh = 1").select("k", "type", "start", "end", "item")
     sure = first.where("type <> 'person' and sure").select("k", "type", "start", "end", "item")
     people = by_parts.union(by_context).union(half).distinct()
     # Of overlapping candidates for one name the one made of known parts wins, then the first.
     ranked = people.join(by_parts.withColumn("p", F.lit(0)).select("k", "start", "end", "p").distinct(), ["k", "start", "end"], "left").withColumn("p", F.coalesce("p", F.lit(1)))
-    from pyspark.sql import Window
-
-    spans = sure.withColumn("p", F.lit(-2)).unionByName(weak.withColumn("p", F.lit(-1))).unionByName(ranked)
+    spans = sure.withColumn("p", F.lit(-3)).unionByName(weak.withColumn("p", F.lit(-2))).unionByName(streets.withColumn("p", F.lit(-1))).unionByName(ranked)
 
     def settle(pdf):
         pdf = pdf.sort_values(["p", "start", "end"])
@@ -434,19 +558,19 @@ def detect(df: DataFrame, key: str, text: str, rounds: int = 3) -> DataFrame:
     previous = Window.partitionBy("k").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     following = Window.partitionBy("k").orderBy("start", "end").rowsBetween(1, 1)
     marked = spans.withColumn("clash", F.coalesce(F.max("end").over(previous) > F.col("start"), F.lit(False)) | F.coalesce(F.min("start").over(following) < F.col("end"), F.lit(False)))
-    marked = checkpointed(marked)
+    marked = stored(marked)
     clear = marked.where("not clash").select("k", "type", "start", "end", "item")
     settled = marked.where("clash").groupBy("k").applyInPandas(settle, "k long, type string, start long, end long, item string")
     return clear.unionByName(settled)
 
 
-def found(df: DataFrame, key: str, text: str, **how) -> DataFrame:
-    return detect(df, key, text, **how).select("k", "type", "item").distinct()
+def found(df: DataFrame, key: str, text: str) -> DataFrame:
+    return detect(df, key, text).select("k", "type", "item").distinct()
 
 
-def redacted(df: DataFrame, key: str, text: str, **how) -> DataFrame:
+def redacted(df: DataFrame, key: str, text: str) -> DataFrame:
     """(k, text, n_items): the texts with each item replaced by its type in brackets."""
-    items = detect(df, key, text, **how).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "end", "type"))).alias("items"))
+    items = detect(df, key, text).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "end", "type"))).alias("items"))
     texts = keyed_texts(df, key, text, "long")
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
