@@ -4,16 +4,22 @@ A state is a string: "" in code, "//" in a line comment, "/*" in a block comment
 character, and 'R' + delimiter in a raw string. ``lex`` starts in any state and tells the one it ends in, so the lexing of
 a chunk is a map from states to states; maps compose, composition is associative, and a prefix scan over the
 chunks of a file gives each chunk the state it starts in. Chunks end after a line break, where no
-token but those above can be cut.
+token but those above can be cut. ``scan`` reads a whole text that way.
+
+A map costs little more than lexing the chunk once: from whatever state, once the token that was open has ended at a place where
+lexing from code stands in code, too, both go on alike.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 
 CODE, LINE, BLOCK, STRING, CHAR = "", "//", "/*", '"', "'"
 STATES = (CODE, LINE, BLOCK, STRING, CHAR)
+#: Characters of a chunk of ``scan``, at least.
+CHUNK = 1024
 
 _EVENT = re.compile(r"""//|/\*|["'{}]""")
 _EVENT_NO_BRACES = re.compile(r"""//|/\*|["']""")
@@ -30,36 +36,36 @@ def _open_continues(text: str, end: int) -> bool:
     return text.endswith(("\\\n", "\\\r\n"), 0, end) and end == len(text)
 
 
+def _opened(text: str, state: str) -> tuple[str, int, str]:
+    """(kind, end, state) of the token that is open where the text begins; the state is that at its end."""
+    n = len(text)
+    if state == LINE:
+        at = _LINE_END.match(text, 0).end()
+        return LINE, at, LINE if at == n and _open_continues(text, n) else CODE
+    if state == BLOCK:
+        end = text.find("*/")
+        return (BLOCK, n, BLOCK) if end < 0 else (BLOCK, end + 2, CODE)
+    if state in (STRING, CHAR):
+        at = (_STRING_END if state == STRING else _CHAR_END).match(text, 0).end()
+        if at == n and _open_continues(text, n):
+            return state, n, state
+        return state, at + 1 if at < n and text[at] == state else at, CODE
+    close = ")" + state[1:] + '"'
+    end = text.find(close)
+    return ("R", n, state) if end < 0 else ("R", end + len(close), CODE)
+
+
 def lex(text: str, state: str = CODE, braces: bool = False) -> tuple[list[tuple[str, int, int]], str]:
     """(kind, start, end) of the comments and literals, markers included, and the state at the end. With ``braces`` also
     ("{", i, i + 1) and ("}", i, i + 1). A string that is not closed on its line ends there."""
     out: list[tuple[str, int, int]] = []
     n, at = len(text), 0
     search = (_EVENT if braces else _EVENT_NO_BRACES).search
-    if state == LINE:
-        at = _LINE_END.match(text, 0).end()
-        out.append((LINE, 0, at))
-        if at == n and _open_continues(text, n):
-            return out, LINE
-    elif state == BLOCK:
-        end = text.find("*/")
-        if end < 0:
-            return [(BLOCK, 0, n)], BLOCK
-        at = end + 2
-        out.append((BLOCK, 0, at))
-    elif state in (STRING, CHAR):
-        at = (_STRING_END if state == STRING else _CHAR_END).match(text, 0).end()
-        if at == n and _open_continues(text, n):
-            return [(state, 0, n)], state
-        at = min(n, at + 1) if at < n and text[at] == state else at
-        out.append((state, 0, at))
-    elif state:
-        close = ")" + state[1:] + '"'
-        end = text.find(close)
-        if end < 0:
-            return [("R", 0, n)], state
-        at = end + len(close)
-        out.append(("R", 0, at))
+    if state != CODE:
+        kind, at, after = _opened(text, state)
+        out.append((kind, 0, at))
+        if after != CODE:
+            return out, after
     while m := search(text, at):
         i = m.start()
         c = m[0]
@@ -111,9 +117,39 @@ def lex(text: str, state: str = CODE, braces: bool = False) -> tuple[list[tuple[
     return out, CODE
 
 
-def transitions(text: str, delimiters: Iterable[str] = ()) -> dict[str, str]:
-    """The map from the state before a chunk to the state after it."""
-    return {s: lex(text, s)[1] for s in (*STATES, *("R" + d for d in delimiters))}
+def transitions(text: str, delimiters: Iterable[str] = (), from_code: tuple[list[tuple[str, int, int]], str] | None = None) -> dict[str, str]:
+    """The map from the state before a chunk to the state after it; ``from_code`` is ``lex(text)``, if there is one already."""
+    spans, end = from_code or lex(text)
+    starts = [a for _, a, _ in spans]
+    out = {CODE: end}
+    for s in (*STATES[1:], *("R" + d for d in delimiters)):
+        _, at, after = _opened(text, s)
+        if after == CODE and at < len(text):
+            i = bisect_left(starts, at) - 1  # the last token that begins before
+            after = end if i < 0 or spans[i][2] <= at else lex(text, s)[1]
+        out[s] = after
+    return out
+
+
+def scan(text: str, size: int = CHUNK) -> list[tuple[str, int, int]]:
+    """``lex(text)[0]`` by composed maps of chunks: each chunk is read on its own, and tokens that cross chunks are put together."""
+    pieces = chunks(text, size)
+    read = [lex(p) for p in pieces]
+    if len(pieces) == 1:
+        return read[0][0]
+    delimiters = set(RAW_DELIMITERS.findall(text))
+    states = entry_states([transitions(p, delimiters, r) for p, r in zip(pieces, read)])
+    out: list[tuple[str, int, int]] = []
+    at = 0
+    for p, state, r in zip(pieces, states, read):
+        spans = r[0] if state == CODE else lex(p, state)[0]
+        if state != CODE:
+            kind, start, _ = out[-1]
+            out[-1] = kind, start, at + spans[0][2]
+            spans = spans[1:]
+        out += [(kind, at + a, at + b) for kind, a, b in spans]
+        at += len(p)
+    return out
 
 
 def compose(first: dict[str, str], then: dict[str, str]) -> dict[str, str]:

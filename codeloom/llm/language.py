@@ -1,10 +1,9 @@
 """Natural language inside source files (problem 7): composed lexer maps and a multinomial logistic regression.
 
-Comments and string literals are found by ``cpp_lexer``. Files longer than ``chunk_chars`` are cut into chunks; each
-chunk's map from lexer states to lexer states is computed on its own, a prefix scan over the maps tells each chunk the
-state it starts in, and the chunks are then lexed side by side. Comments and literals that cross the border of chunks, or may go on
-beyond it, are put together again before they are read, so that the result is that of the whole file. Files of one chunk
-start in code and need no scan.
+Comments and string literals are found by ``cpp_lexer.scan``: every file is cut into chunks, each chunk's map from lexer
+states to lexer states is computed on its own, a prefix scan over the maps tells each chunk the state it starts in, and what crosses
+the border of chunks is put together again. Files longer than ``chunk_chars`` are first spread over tasks with the same maps,
+in pieces that cut no comment, literal, or run of them, so that the result is that of the whole file, whatever ``chunk_chars`` is.
 
 Sentences of the spans are labelled by a multinomial logistic regression on hashed character n-grams of words. It is
 trained here, at most on ``max_train`` labelled documents and as many programs, drawn by a hash of their keys. The
@@ -177,7 +176,7 @@ def _joined(text: str, last: tuple[str, int, int], span: tuple[str, int, int]) -
 
 def placed_paragraphs(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, prose) of the comments and literals of a text that starts in code."""
-    for held in groups(text, X.lex(text)[0]):
+    for held in groups(text, X.scan(text)):
         if held[0][0] == X.CHAR:
             continue
         if held[0][0] in (X.STRING, "R"):

@@ -30,7 +30,9 @@ def test_chunks_compose_to_the_whole(text, size):
     pieces = X.chunks(text, size)
     assert "".join(pieces) == text
     delimiters = set(X.RAW_DELIMITERS.findall(text))
-    states = X.entry_states([X.transitions(p, delimiters) for p in pieces])
+    maps = [X.transitions(p, delimiters) for p in pieces]
+    assert all(to == X.lex(p, s)[1] for p, m in zip(pieces, maps) for s, to in m.items())
+    states = X.entry_states(maps)
     state = X.CODE
     covered = []
     at = 0
@@ -40,7 +42,7 @@ def test_chunks_compose_to_the_whole(text, size):
         covered += [(kind, at + a, at + b) for kind, a, b in spans]
         at += len(p)
     whole, end = X.lex(text)
-    assert end == state
+    assert end == state and X.scan(text, size) == whole
     inside = lambda spans: {i for _, a, b in spans for i in range(a, b)}
     assert inside(whole) == inside(covered)
 
@@ -238,7 +240,7 @@ def test_chunks_keep_open_literals(spark):
     df = table(spark, rows, "id string, c string")
     model = trained()
     words = lambda n: {(r.k, r.lang): r.n for r in language.language_words(df, "id", "c", model, chunk_chars=n).collect()}
-    assert words(200) == words(1_000_000)
+    assert words(40) == words(200) == words(1_000_000)
     pieces = language.closed_pieces(df.selectExpr("id as k", "c as t"), 200).where("k = 'r5'").collect()
     assert len(pieces) > 3 and all(texts[5][r.at : r.at + len(r.t)] == r.t for r in pieces)
 
