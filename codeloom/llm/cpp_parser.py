@@ -23,17 +23,36 @@ _TOKEN = re.compile(
     re.S | re.X,
 )
 
+#: The same tokens for the main loop, with the blanks before them, the frequent ones first.
+_NEXT = re.compile(
+    r"""(?:[ \t\r\f\v]+|\\\r?\n)*(?:
+(?P<id>(?!(?:u8|[uUL])?R?["'])[A-Za-z_$ª-˿Ͱ-῿Ⰰ-⿯〡-퟿豈-﷏ﷰ-﻾Ａ-ￜ][\w$]*)
+|(?P<p>[;,(){}\[\]]|<<=|>>=|\.\.\.|->\*|::|\.\*|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*%&|^]=|/(?![/*])=?|\#\#|[-+*%&|^~!<>=?:\#]|\.(?!\d))
+|(?P<nl>\n)
+|(?P<num>\.?\d(?:[eEpP][+-]|'?[\w.])*)
+|(?P<str>(?:u8|[uUL])?"[^"\\\n]*(?:\\(?:\r?\n|.)[^"\\\n]*)*"(?:_?[A-Za-z]\w*)?)
+|(?P<com>//[^\n\\]*(?:\\(?:\r?\n|[^\n])[^\n\\]*)*\\?|/\*.*?\*/)
+|(?P<chr>(?:u8|[uUL])?'[^'\\\n]+(?:\\.[^'\\\n]*)*'|(?:u8|[uUL])?'(?:\\.[^'\\\n]*)+')
+|(?P<raw>(?:u8|[uUL])?R"(?P<d>[^()\\\s"]{0,16})\(.*?\)(?P=d)"(?:_\w+)?)
+|(?P<word>[A-Za-z_]\w*)
+|(?P<end>\Z)
+|(?P<bad>.))""",
+    re.S | re.X,
+)
+
 #: The words of the language.
 KEYWORDS = frozenset(
     "alignas alignof and and_eq asm auto bitand bitor bool break case catch char char16_t char32_t class compl const constexpr const_cast continue decltype default delete do double dynamic_cast else enum explicit export extern false float for friend goto if inline int long mutable namespace new noexcept not not_eq nullptr operator or or_eq private protected public register reinterpret_cast return short signed sizeof static static_assert static_cast struct switch template this thread_local throw true try typedef typeid typename union unsigned using virtual void volatile wchar_t while xor xor_eq".split()
 )
 BUILTIN = frozenset("bool char char16_t char32_t double float int long short signed unsigned void wchar_t auto __int128 __int128_t __float128".split())
-SPECIFIERS = frozenset("static inline constexpr const volatile virtual explicit friend extern mutable thread_local register __inline __inline__ __forceinline __restrict __extension__ constinit".split())
+SPECIFIERS = frozenset("static inline constexpr const volatile virtual explicit friend extern mutable thread_local register __inline __inline__ __forceinline __restrict __extension__".split())
 STATEMENT_ONLY = frozenset("break case catch continue default do else for goto if return switch try while".split())
 WORD_OPERATORS = {"and": "&&", "or": "||", "not": "!", "xor": "^", "bitand": "&", "bitor": "|", "compl": "~", "not_eq": "!=", "and_eq": "&=", "or_eq": "|=", "xor_eq": "^="}
 #: Precedence of the binary operators.
 PRECEDENCE = {op: level for level, ops in enumerate((("||",), ("&&",), ("|",), ("^",), ("&",), ("==", "!="), ("<", ">", "<=", ">="), ("<<", ">>"), ("+", "-"), ("*", "/", "%"), (".*", "->*")), 1) for op in ops}
 ASSIGNMENTS = frozenset("= += -= *= /= %= &= |= ^= <<= >>=".split())
+#: What follows the first name of an expression, and never that of a declaration.
+ONLY_EXPRESSIONS = ASSIGNMENTS | frozenset(". -> ++ -- [ << >> + - / % == != <= >= || ? ;".split())
 CASTS = frozenset("static_cast dynamic_cast reinterpret_cast const_cast".split())
 _NUMBER = re.compile(r"(?:0[xX][0-9a-fA-F']*(?:\.[0-9a-fA-F']*)?(?:[pP][+-]?\d+)?|0[bB][01']+|(?:\d[\d']*)?\.?\d*[\d']*(?:[eE][+-]?\d[\d']*)?)(?:_\w+|[uUlLfFzZ]{0,4}|[iIjJ]|i64|ui64|s|ms|us|ns|h|min|sv)?\Z")
 
@@ -75,73 +94,94 @@ class Lexed:
         macros: dict[str, tuple[list[str] | None, list[tuple[str, str]]]] = dict(PREDEFINED)
         stack: list[list] = []  # [active before, some branch taken, active now, saw else]
         active = True
-        raw: list[tuple[str, str, int]] = []
-        at, n = 0, len(text)
-        match = _TOKEN.match
-        while at < n:
+        kinds, texts, lines = self.kinds, self.texts, self.lines
+        at, match = 0, _NEXT.match
+        spliced = "\\\n" in text or "\\\r\n" in text
+        while True:
             m = match(text, at)
-            kind, value = m.lastgroup if m.lastgroup != "d" else "raw", m[0]
+            kind, index = m.lastgroup, m.lastindex
+            value, begin, at = m[index], at, m.end()
+            if spliced:
+                line += text.count("\n", begin, m.start(index))
+            if kind == "p" and value != "#":
+                start_of_line = False
+                if active:
+                    kinds.append(kind)
+                    texts.append(value)
+                    lines.append(line)
+                continue
             if kind == "nl":
                 line += 1
                 start_of_line = True
-                at = m.end()
-                continue
-            if kind in ("ws", "com"):
-                line += value.count("\n")
-                at = m.end()
                 continue
+            if kind == "end":
+                break
             if value == "#" and start_of_line:
-                body, at, lines = self._directive(text, at + 1)
+                body, at, more = self._directive(text, at)
                 active = self._preprocess(body, line, macros, stack, active)
-                line += lines
+                line += more
+                continue
+            if kind == "com":
+                line += value.count("\n")
                 continue
             start_of_line = False
-            at = m.end()
             if not active:
                 # Groups that are skipped are still cut into tokens, but anything goes in them.
-                if kind == "bad" or value in "\"'":
-                    pass
-                elif kind in ("raw", "str"):
+                if kind in ("raw", "str"):
                     line += value.count("\n")
                 continue
-            if kind == "bad":
+            if kind == "p":
+                kinds.append(kind)
+                texts.append(value)
+                lines.append(line)
+            elif kind == "id" or kind == "word":
+                if value in macros:
+                    if macros[value][0] is None:
+                        self._emit(self._expand([("id", value)], macros, frozenset()), line)
+                        continue
+                    rest, _, after, after_line = self._call(text, at, line)
+                    if rest is not None:
+                        self._emit(self._expand([("id", value), *rest], macros, frozenset()), line)
+                        at, line = after, after_line
+                        continue
+                kinds.append("id")
+                texts.append(value)
+                lines.append(line)
+            elif kind == "bad":
+                if value == "/" and text.startswith("*", at):
+                    self._error(line, "unterminated comment")
+                    break
                 self._error(line, {'"': "missing terminating \" character", "'": "missing terminating ' character"}.get(value, f"stray {value!r} in program"))
                 if value in "\"'":
                     end = text.find("\n", at)
-                    at = n if end < 0 else end
-                continue
-            if value == "/" and text.startswith("/*", at - 1):
-                self._error(line, "unterminated comment")
-                break
-            if kind == "num" and not _NUMBER.match(value):
-                self._error(line, f"invalid number {value[:20]!r}")
-            raw.append((kind if kind != "raw" else "str", value if kind != "raw" else '""', line))
-            line += value.count("\n")
-            if kind == "id" and value in macros:
-                params = macros[value][0]
-                if params is None:
-                    raw.pop()
-                    self._emit(self._expand([(kind, value)], macros, frozenset()), line, raw)
-                else:
-                    rest, used, after, after_line = self._call(text, at, line)
-                    if rest is not None:
-                        raw.pop()
-                        self._emit(self._expand([(kind, value), *rest], macros, frozenset()), line, raw)
-                        at, line = after, after_line
+                    at = len(text) if end < 0 else end
+            else:
+                if kind == "num" and not _NUMBER.match(value):
+                    self._error(line, f"invalid number {value[:20]!r}")
+                kinds.append("str" if kind == "raw" else kind)
+                texts.append('""' if kind == "raw" else value)
+                lines.append(line)
+                line += value.count("\n")
         if stack:
             self._error(line, "unterminated conditional directive")
-        for kind, value, at_line in raw:
-            self.kinds.append("p" if value in WORD_OPERATORS else kind)
-            self.texts.append(WORD_OPERATORS.get(value, value))
-            self.lines.append(at_line)
+        if not WORD_OPERATORS.keys().isdisjoint(texts):
+            for i, value in enumerate(texts):
+                if value in WORD_OPERATORS:
+                    kinds[i], texts[i] = "p", WORD_OPERATORS[value]
 
-    @staticmethod
-    def _emit(tokens, line, raw) -> None:
-        raw.extend((k, v, line) for k, v in tokens)
+    def _emit(self, tokens: list[tuple[str, str]], line: int) -> None:
+        for k, v in tokens:
+            self.kinds.append(k)
+            self.texts.append(v)
+            self.lines.append(line)
 
     @staticmethod
     def _directive(text: str, at: int) -> tuple[str, int, int]:
         """The logical line of a directive without comments, where it ends, and how many lines it has."""
+        end = text.find("\n", at)
+        whole = text[at:] if end < 0 else text[at:end]
+        if "\\" not in whole and "/" not in whole and '"' not in whole:
+            return whole.strip(), len(text) if end < 0 else end, 0
         out, lines, n = [], 0, len(text)
         while at < n:
             c = text[at]
@@ -391,6 +431,7 @@ class Parser:
         self.errors: list[tuple[int, str]] = lexed.errors
         self.at = 0
         self.angle = False  # inside template arguments, where ">" closes
+        self.no_arguments: set[int] = set()  # places of "<" that open no template arguments
 
     # --- tools
 
@@ -445,6 +486,7 @@ class Parser:
             for column, first in ((self.texts, t[1:]), (self.kinds, "p"), (self.lines, self.lines[self.at])):
                 column[self.at : self.at + 1] = [t[0] if column is self.texts else first, first]
             self.at += 1
+            self.no_arguments.clear()  # places have moved
 
     # --- files
 
@@ -663,6 +705,17 @@ class Parser:
             return
 
     def template_arguments(self) -> None:
+        """Fails at once where it failed before: in a chain of comparisons each "<" is tried once."""
+        start = self.at
+        if start in self.no_arguments:
+            self.fail("template-argument")
+        try:
+            self._template_arguments()
+        except Failure:
+            self.no_arguments.add(start)
+            raise
+
+    def _template_arguments(self) -> None:
         self.need("<")
         if self.kinds[self.at] == "p" and self.texts[self.at].startswith(">"):
             return self.close_angle()
@@ -685,6 +738,7 @@ class Parser:
         """Decl-specifiers; whether one of them is a type."""
         typed = False
         start = self.at
+        kinds_of_type: set[str] = set()
         while True:
             self.attributes()
             kind, t = self.kinds[self.at], self.texts[self.at]
@@ -701,6 +755,9 @@ class Parser:
             elif t in BUILTIN:
                 if typed and t in ("auto", "void"):
                     return typed
+                if t in kinds_of_type and t != "long":
+                    self.fail("unqualified-id")
+                kinds_of_type.add(t)
                 self.at += 1
                 typed = True
             elif t == "decltype" and not typed:
@@ -1117,6 +1174,10 @@ class Parser:
         kind, t = self.kinds[self.at], self.texts[self.at]
         if kind == "id" and (t in ("using", "namespace", "static_assert", "asm", "template", "typedef", "extern") or t in SPECIFIERS or t in ("class", "struct", "union", "enum")):
             return self.declaration(None, True)
+        if kind == "id" and t not in KEYWORDS and self.texts[self.at + 1] in ONLY_EXPRESSIONS and self.kinds[self.at + 1] == "p":
+            self.expression()
+            self.need(";")
+            return
         if kind == "id" and t not in KEYWORDS or t in BUILTIN or t in ("typename", "decltype") or t == "::":
             start, errors = self.at, len(self.errors)
             try:
@@ -1474,6 +1535,7 @@ class Parser:
                 start = self.at
                 if self.attempt(self.template_arguments) is None or not (self.kinds[self.at] == "p" and self.texts[self.at] in ("(", "::", "{", ")", ",", ";", "}", "]", "...", ".")):
                     self.at = start
+                    self.no_arguments.add(start)
                     return
             if not self.take("::"):
                 return

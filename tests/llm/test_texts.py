@@ -137,6 +137,12 @@ def test_preprocessor_has_no_limits():
     assert cpp_parser.parse_errors('#ifndef __cplusplus\nint f( {\n#endif\n#if __cplusplus >= 201703L && __GNUC__ && defined(__linux__)\nconst char* s = "a" __FILE__;\n#else\n{\n#endif') == []
 
 
+def test_chains_of_comparisons_are_tried_once():
+    chain = " && ".join(f"a{i} < b{i}" for i in range(200))
+    assert cpp_parser.parse_errors(f"int main() {{ if ({chain}) return 1; }}") == []
+    assert cpp_parser.parse_errors("int int x;") and not cpp_parser.parse_errors("unsigned long long int x;")
+
+
 def test_recovery_finds_later_errors():
     assert [line for line, _ in cpp_parser.parse_errors("int f() {\n  int a = ;\n  a++;\n  b = );\n}\nint g(int a {\n}\nint h() { return 1; }")] == [2, 4, 6]
 
