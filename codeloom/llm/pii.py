@@ -109,10 +109,12 @@ def _street_words():
 
 
 #: A house number; and capitalised words right after or right before it.
-HOUSE_NUMBER = re.compile(r"(?<![\w/.:,+–-])" + _HOUSE + r"(?![\w–-])(?![.,:/]\w)")
+HOUSE_NUMBER = re.compile(r"\d(?<![\w/.:,+–-]\d)" + _HOUSE.replace("{1,5}", "{0,4}", 1) + r"(?![\w–-])(?![.,:/]\w)")
 _CAPITALISED = f"[{UP}][\\w'’-]*"
 WORDS_AFTER = re.compile(f",?{_S}(?P<kind>[{LOW}]+{_S})?{_CAPITALISED}(?:{_S}{_CAPITALISED}){{0,3}}")
 WORDS_BEFORE = re.compile(f"(?<![\\w'’-]){_CAPITALISED}(?:{_S}(?:(?:de|del|da|do|dos|das|la|las|los|el|of|the|des|du|le|les|van|von|der|den|y|e){_S})*{_CAPITALISED}){{0,3}},?{_S}(?:n[.º°]{_S}?)?\\Z")
+#: What stands between the number and the words.
+_NEXT_TO = frozenset(" \t\r\n,.º°")
 _CAPITAL_WORD = re.compile(f"(?<![\\w'’-]){_CAPITALISED}")
 #: Letters at the end of a compound that tell what kind of street it is.
 HEAD_LETTERS = 6
@@ -134,8 +136,9 @@ PHONE = re.compile(
     r")(?![\w])(?![-/.]\d)"
 )
 PHONE_DIGITS = (8, 15)
-#: Runs of digits and their separators that are long enough for any number.
+#: Runs of digits and their separators, and the digits that the shortest number has.
 NUMBERISH = re.compile(r"\d[\d .\-/()A-Z]{6,}")
+LEAST_DIGITS = 6
 
 _INITIAL = f"(?:{_S}[{UP}]\\.)?"
 _UPPER_WORD = f"[{UP}]{{2,}}(?:[-'’][{UP}]{{2,}})*"
@@ -232,6 +235,8 @@ def fixed_forms(text: str) -> list[tuple[str, int, int, bool]]:
             for m in form.finditer(text):
                 put("address", *m.span())
     for run in NUMBERISH.finditer(text):
+        if sum(map(str.isdigit, run[0])) < LEAST_DIGITS:
+            continue
         for m in _numbers(ID_STRONG, text, run):
             put("id_number", *m.span())
         for m in _numbers(PHONE, text, run):
@@ -291,13 +296,14 @@ def address_candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tupl
     last = 0
     for m in HOUSE_NUMBER.finditer(text):
         least, last = last, m.end()
-        if after := WORDS_AFTER.match(text, m.end()):
+        if text[last : last + 1] in _NEXT_TO and (after := WORDS_AFTER.match(text, last)):
             if _free(taken, m.start(), after.end()):
                 head = after["kind"] or text[after.start() : after.end()].rsplit(None, 1)[-1]
                 yield m.start(), after.end(), head.strip().lower()
-        before = text[least : m.start()].rstrip(" \t\r\n,nº°.")
-        word = before[-60:].rsplit(None, 1)[-1:]
-        if not word or not word[0].lstrip("(\"'«“")[:1].isupper():
+        if text[m.start() - 1 : m.start()] not in _NEXT_TO:
+            continue
+        words = text[least : m.start()].rstrip(" \t\r\n,nº°.").rsplit(None, 1)
+        if not words or not words[-1].lstrip("(\"'«“")[:1].isupper():
             continue
         from_ = max(least, text.rfind("\n\n", least, m.start()))
         line = text[from_ : m.start()]
