@@ -369,6 +369,37 @@ class Lexed:
             return False
 
 
+_DIRECTIVE = re.compile(r"^[ \t]*\#[ \t]*(?=(?:if|ifdef|ifndef|elif|else|endif|define|undef)\b)", re.M)
+
+
+def conditionals(text: str, inside) -> list[tuple[list[tuple[int, int]], int]]:
+    """The conditional groups of a text, inner ones before outer ones: the ranges of each one's branches, and which one is compiled,
+    -1 for none. ``inside(place)`` tells whether a place is in a comment or literal."""
+    reader = Lexed.__new__(Lexed)
+    reader.errors = []
+    macros, stack, active = dict(PREDEFINED), [], True
+    open_: list[tuple[list[tuple[int, int]], list[int], int]] = []
+    out = []
+    for m in _DIRECTIVE.finditer(text):
+        if inside(m.start()):
+            continue
+        body, end, _ = reader._directive(text, m.end())
+        active = reader._preprocess(body, 0, macros, stack, active)
+        word = re.match(r"\w+", body)[0]
+        if word in ("if", "ifdef", "ifndef"):
+            open_.append(([], [0] if active else [], end))
+        elif word in ("elif", "else", "endif") and open_:
+            branches, taken, start = open_.pop()
+            branches.append((start, m.start()))
+            if word == "endif":
+                out.append((branches, taken[0] if taken else -1))
+            else:
+                if active and not taken:
+                    taken.append(len(branches))
+                open_.append((branches, taken, end))
+    return out
+
+
 class _Arithmetic:
     """Integer expressions of #if, by precedence climbing."""
 

@@ -2,8 +2,10 @@
 
 ``parse`` builds the tree of a file's declarations: namespaces, classes and functions with exact source ranges, and the
 comment that ends on the line above each. Function bodies are not parsed expression by expression; they are crossed
-by their braces, and looked into again only where they define local classes. ``describes`` decides whether a comment
-is a description: tags, parameter names, markers, header fields and commented-out code are taken out first.
+by their braces, and looked into again only where they define local classes. Where the branches of a conditional of the
+preprocessor open and close different braces, only the branch that is compiled is read; else all of them are. ``describes`` decides
+whether a comment is a description: tags, parameter names, markers, header fields and commented-out code are taken out first, and what
+only repeats the words of the name is none.
 
 Defined results: null key or text: left out; text that is no C++ gives what can be read as definitions, and never an
 error; several definitions of one name in a file give one row each in ``documented_functions``; a repeated key is
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeloom.llm import cpp_lexer as X
+from codeloom.llm import cpp_parser
 from codeloom.llm.common import keyed_texts, spread, text_groups
 from codeloom.llm.language import _CODE, CJK
 
@@ -28,6 +31,7 @@ _TOKEN = re.compile(r"""(?P<pp>^[ \t]*\#(?:[^\n\\/]|\\(?:\r?\n|.)|/(?![/*]))*)|(
 _LOCAL_CLASS = re.compile(r"\b(?:struct|class|union)\b[^;(){}=]*\{")
 #: Words before a parenthesis that make it no parameter list.
 NOT_NAMES = frozenset("if for while switch catch return sizeof alignof decltype noexcept throw new delete static_assert alignas typeid co_await co_return co_yield else do case __attribute__ __declspec requires explicit".split())
+_ACCESS = re.compile(r"(?:public|private|protected)\s*:")
 _CLASS_WORDS = frozenset(("class", "struct", "union"))
 
 
@@ -48,7 +52,7 @@ class Node:
 
 class _Parser:
     def __init__(self, text: str):
-        self.text = text
+        self.text = text = _one_branch(text)
         spans, _ = X.lex(text, braces=True)
         self.comments: list[tuple[int, int]] = []
         self.last_kind = ""
@@ -247,9 +251,8 @@ class _Parser:
     def above(self, start: int) -> tuple[int, int] | None:
         """The comment that ends on the line above."""
         line = self.text.rfind("\n", 0, start) + 1
-        if self.text[line:start].strip():
-            # After an access label or another declaration on the same line: the comment may still be above the line.
-            return None
+        if (first := self.text[line:start].strip()) and not _ACCESS.fullmatch(first):
+            return None  # another declaration begins the line
         before = line - 1
         if before < 0:
             return None
@@ -260,6 +263,30 @@ class _Parser:
         return self.by_end.get(end) or self.by_end.get(before) or next((c for c in (self.by_end.get(e) for e in range(end, before + 1)) if c), None)
 
 
+def _one_branch(text: str) -> str:
+    """The text, of the same length, with blanks for branches that are not compiled, where branches differ in their braces."""
+    if "#" not in text or not re.search(r"^[ \t]*#[ \t]*(?:else|elif|endif)\b", text, re.M):
+        return text
+    spans, _ = X.lex(text, braces=True)
+    braces = [(a, 1 if kind == "{" else -1) for kind, a, _ in spans if kind in ("{", "}")]
+    tokens = [(a, b) for kind, a, b in spans if kind not in ("{", "}")]
+    starts = [a for a, _ in tokens]
+
+    def inside(place: int) -> bool:
+        i = bisect_left(starts, place + 1) - 1
+        return i >= 0 and place < tokens[i][1]
+
+    gone: list[tuple[int, int]] = []
+    for branches, taken in cpp_parser.conditionals(text, inside):
+        if any(sum(d for at, d in braces if a <= at < b) for a, b in branches):
+            dropped = [r for i, r in enumerate(branches) if i != taken]
+            gone += dropped
+            braces = [(at, d) for at, d in braces if not any(a <= at < b for a, b in dropped)]
+    for a, b in gone:
+        text = text[:a] + re.sub(r"[^\n]", " ", text[a:b]) + text[b:]
+    return text
+
+
 def parse(text: str) -> Node:
     root = Node("file", "", 0, len(text))
     _Parser(text).scope(root, 0, len(text))
@@ -281,7 +308,20 @@ def description(comment: str, name: str = "") -> str:
             continue
         lines.append(_PARAM.sub(" ", line).strip())
     text = " ".join(x for x in lines if x)
-    return "" if name and text.strip(" .:") == name else text
+    return "" if name and _repeats(text, name) else text
+
+
+#: Words that add nothing to a name.
+_FILLERS = frozenset("a an the this that function method of to for and is it".split())
+_NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\da-zA-Z_]+")
+
+
+def _repeats(text: str, name: str) -> bool:
+    """Whether a text has no words but those of a name, in whatever form, and fillers."""
+    words = {w.lower() for w in _PROSE_WORD.findall(text)}
+    parts = {p.lower() for p in _NAME_PARTS.findall(name)} | {name.lower()}
+    stem = lambda w: w[:-1] if w.endswith("s") and len(w) > 3 else w
+    return bool(words) and not _WIDE.search(text) and {stem(w) for w in words - _FILLERS} <= {stem(p) for p in parts}
 
 
 def describes(text: str) -> bool:

@@ -95,6 +95,16 @@ def test_documented(text, expected):
     assert names(text) == expected
 
 
+def test_documented_in_branches_and_after_labels():
+    text = f"#ifdef A\nvoid f(int) {{\n#else\nvoid f(long) {{\n#endif\n  g();\n}}\n// {DOC}\nint sum() {{ return 1; }}\n"
+    assert [n for n, *_ in documented.documented(text)] == ["sum"]
+    both = f"#if X\n// {DOC}\nvoid f() {{}}\n#else\n// {DOC}\nvoid g() {{}}\n#endif\n"
+    assert [n for n, *_ in documented.documented(both)] == ["f", "g"]
+    assert [n for n, *_ in documented.documented(f"class A {{\n// {DOC}\npublic: int sum() {{ return 1; }}\n}};")] == ["sum"]
+    assert documented.documented("// compute the sum of all values of this function\nint computeSumOfAllValues() { return 1; }") == []
+    assert documented.documented("#if 1\n#if 0\n{\n#endif\n" + f"// {DOC}\nint a() {{}}\n#endif\n// #if {{\n")[0][0] == "a"
+
+
 def test_documented_ranges(spark):
     text = f"int a;\n// {DOC}\nint f() {{ return 1; }}\nint b;"
     rows = documented.documented_functions(table(spark, [("p", text), ("q", None), (None, text), ("e", "")], "id string, c string"), "id", "c").collect()
