@@ -8,9 +8,8 @@ queue, so a source with a third of all items is no single task, and deficits car
 The shares are target proportions if such are given, else the natural ones. No text is repeated or dropped: when a source runs
 out, later windows hold the others only, each still at its own credit, and so fewer tokens.
 
-The items of a window are packed by best fit, largest first. A window holds a bounded number of tokens, and windows
-are packed independently. Whatever containers a window leaves less full than ``full`` are opened again: their
-items are packed once more, in groups of windows, so that at most one container per group stays badly filled.
+The items of a window are packed by best fit, largest first. A window holds the tokens of ``containers`` containers; windows
+are packed independently, so that each keeps its mixture, and of each only the last container or two stay badly filled.
 
 Only an item longer than a container is cut: whole containers first, and the rest is packed like an item.
 
@@ -22,15 +21,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed, spread
+from codeloom.lineage import stored
+from codeloom.llm.common import spread
 
 #: Fixed value: the published pattern that splits text before the merges of these vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -46,9 +48,9 @@ def load_encoder(path: str):
     return tiktoken.Encoding(hashlib.md5(path.encode()).hexdigest(), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def counter(path: str):
+def counter(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(path).encode_ordinary
+        encode = load_encoder(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             counts = [len(encode(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, type=pa.int64())], names=["k", "source", "n"])
@@ -57,9 +59,10 @@ def counter(path: str):
 
 
 def token_counts(df: DataFrame, key: str, text: str, source: str, vocabulary: str) -> DataFrame:
-    """(k, source, n) for every row with a key."""
+    """(k, source, n) for every row with a key. The vocabulary, a file of the driver, is sent to the executors."""
+    df.sparkSession.sparkContext.addFile(vocabulary)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"), F.col(f"`{text}`").cast("string").alias("t")).where("k is not null")
-    return spread(rows).mapInArrow(counter(vocabulary), "k long, source string, n long")
+    return spread(rows).mapInArrow(counter(os.path.basename(vocabulary)), "k long, source string, n long")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:
@@ -113,29 +116,46 @@ def assign_windows(items: DataFrame, window_tokens: int, part_rows: int = 100_00
     return placed.select("k", "source", "n", F.greatest(w, F.lit(1)).cast("long").alias("w"))
 
 
-def _packer(capacity: int, full: float, first: bool):
+def _packer(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["k", "start", "n"], kind="stable")
-        box = best_fit(pdf["n"].tolist(), capacity)
-        fill = pdf["n"].groupby(box).transform("sum")
-        return pdf.assign(box=pd.Series(box, index=pdf.index, dtype="int64"), again=(fill < full * capacity).to_numpy() & first)
+        return pdf.assign(box=pd.Series(best_fit(pdf["n"].tolist(), capacity), index=pdf.index, dtype="int64"))
 
     return run
 
 
-def pack(counted: DataFrame, capacity: int = 2048, containers: int = 512, full: float = 0.97, again_windows: int = 64, targets: dict[str, float] | None = None) -> DataFrame:
-    """(container, k, source, start, n) of (k, source, n): tokens start .. start + n of item k lie in container."""
+def pack(counted: DataFrame, capacity: int = 2048, containers: int = 512, targets: dict[str, float] | None = None) -> DataFrame:
+    """(window, container, k, source, start, n) of (k, source, n): tokens start .. start + n of item k lie in container. Whole containers
+    of long items belong to the window that serves the item."""
     # Counted once: the totals, the running sums and the pieces all need it, and texts are not needed again.
-    served = checkpointed(assign_windows(checkpointed(counted), containers * capacity, targets=targets))
+    served = stored(assign_windows(stored(counted), containers * capacity, targets=targets))
     whole = F.floor(F.col("n") / capacity)
     cut = served.withColumn("whole", F.when(F.col("n") > capacity, whole).otherwise(0).cast("int"))
     heads = cut.where("whole > 0").select("k", "source", "w", F.posexplode(F.array_repeat(F.lit(0), F.col("whole"))).alias("i", "z"))
-    heads = heads.select(F.concat_ws("-", F.lit("long"), "k", "i").alias("container"), "k", "source", (F.col("i").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n"))
+    heads = heads.select(F.col("w").alias("window"), F.concat_ws("-", F.lit("long"), "k", "i").alias("container"), "k", "source", (F.col("i").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n"))
     rest = cut.select("k", "source", "w", (F.col("whole").cast("long") * capacity).alias("start"), (F.col("n") - F.col("whole") * capacity).cast("long").alias("n"), "whole").where("n > 0 or whole = 0").drop("whole")
-    schema = "k long, source string, w long, start long, n long"
-    once = checkpointed(rest.groupBy("w").applyInPandas(_packer(capacity, full, True), schema + ", box long, again boolean"))
-    kept = once.where("not again").withColumn("container", F.concat_ws("-", F.lit("w"), "w", "box"))
-    second = once.where("again").drop("box", "again").withColumn("w", F.floor((F.col("w") - 1) / again_windows).cast("long"))
-    second = second.groupBy("w").applyInPandas(_packer(capacity, full, False), schema + ", box long, again boolean").withColumn("container", F.concat_ws("-", F.lit("r"), "w", "box"))
-    columns = ["container", "k", "source", "start", "n"]
-    return heads.select(columns).unionByName(kept.select(columns)).unionByName(second.select(columns))
+    packed = rest.groupBy("w").applyInPandas(_packer(capacity), "k long, source string, w long, start long, n long, box long")
+    packed = packed.select(F.col("w").alias("window"), F.concat_ws("-", F.lit("w"), "w", "box").alias("container"), "k", "source", "start", "n")
+    return heads.unionByName(packed)
+
+
+def fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """(window, containers, tokens, fill) of each window."""
+    rows = packed.groupBy("window").agg(F.count_distinct("container").alias("containers"), F.sum("n").alias("tokens"))
+    return rows.withColumn("fill", F.col("tokens") / (F.col("containers") * F.lit(capacity)))
+
+
+def mixture(packed: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """(source, target, windows, least, mean, most): the wanted share of each source, and the shares that it reached in the windows before
+    the first source runs out; without targets the natural share is wanted."""
+    by = packed.groupBy("window", "source").agg(F.sum("n").alias("n"))
+    totals = by.groupBy("source").agg(F.sum("n").alias("all"), F.max("window").alias("last")).where(F.col("all") > 0)
+    weight = F.col("all").cast("double")
+    if targets:
+        weight = F.coalesce(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col("source")], F.col("all") / F.sum("all").over(Window.partitionBy(F.lit(0))))
+    totals = totals.withColumn("weight", weight)
+    whole = totals.agg(F.sum("weight").alias("weights"), F.min("last").alias("first_end"))
+    sizes = by.groupBy("window").agg(F.sum("n").alias("tokens"))
+    full = sizes.crossJoin(F.broadcast(whole)).where("window < first_end").select("window", "tokens")
+    shares = by.join(full, "window").groupBy("source").agg(F.count("*").alias("windows"), *[f(F.col("n") / F.col("tokens")).alias(c) for c, f in (("least", F.min), ("mean", F.avg), ("most", F.max))])
+    return totals.crossJoin(F.broadcast(whole)).select("source", (F.col("weight") / F.col("weights")).alias("target")).join(shares, "source", "left").na.fill(0, ["windows"])

@@ -94,6 +94,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.found(files, "OriginalPath", "Content").withColumnRenamed("path", "original_path")
 
 
+def p6_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every error of every file, in the order in which the parser met them; the first one is the cause."""
+    files = table(spark, sf_dir, "raw_sources", "OriginalPath", "Content")
+    rows = syntax.parsed(files, "OriginalPath", "Content").where("fails").select("path", "language", F.posexplode("errors").alias("place", "e"))
+    return rows.select(F.col("path").alias("original_path"), "language", "place", F.col("e.line").alias("line"), F.col("e.message").alias("message"), (F.col("place") == 0).alias("is_cause"))
+
+
+def p6_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and accepted files of each language, and of each first cause that rejects them."""
+    return syntax.acceptance(table(spark, sf_dir, "raw_sources", "OriginalPath", "Content"), "OriginalPath", "Content")
+
+
 def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "raw_sources", "OriginalPath", "Repository", "Content")
     reports = table(spark, sf_dir, "compile_report", "OriginalPath", "ErrorCount", "ReturnCode")
@@ -120,12 +132,33 @@ def p7_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("k").alias("program_id"), "start", "end", "lang", F.col("n").alias("words"), "sentence")
 
 
+#: Kinds of documents that p8_mixture wants in equal parts.
+P8_TARGETS = {kind: 1.0 for kind in ("readme", "issue", "report", "repair_log", "editorial", "review")}
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     out = packing.pack(packing.token_counts(docs, "doc_id", "text", "source", VOCABULARY), 2048)
     return out.select("container", F.col("k").alias("doc_id"), "source", "start", F.col("n").alias("n_tokens"))
 
 
+def _by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed to target proportions of the kinds, in windows of 64 containers."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "doc_kind")
+    return packing.pack(packing.token_counts(docs, "doc_id", "text", "doc_kind", VOCABULARY), 2048, 64, P8_TARGETS)
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and reached shares of each kind of document."""
+    out = packing.mixture(_by_kind(spark, sf_dir), P8_TARGETS)
+    return out.select(F.col("source").alias("doc_kind"), "windows", *[F.round(c, 6).alias(c) for c in ("target", "least", "mean", "most")])
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each window are."""
+    return packing.fill(_by_kind(spark, sf_dir)).select("window", "containers", "tokens", F.round("fill", 6).alias("fill"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str, spans: bool) -> DataFrame:
     items = table(spark, sf_dir, "eval_items", "item_id", "text")
     return leaks.leaks(documents(spark, sf_dir), items, "doc_id", "text", "item_id", ["text"], 20, spans)
@@ -148,7 +181,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_percentiles, p1_percentiles_of_days, p2_found, p2_collapsed, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_shared, p5_stretches, p5_spans, p6_found, p6_rates, p7_found, p7_shares, p7_prose, p8_packed, p9_found, p9_passages, p10_found, p10_redacted)
+    every = (p1_percentiles, p1_percentiles_of_days, p2_found, p2_collapsed, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_shared, p5_stretches, p5_spans, p6_found, p6_errors, p6_acceptance, p6_rates, p7_found, p7_shares, p7_prose, p8_packed, p8_mixture, p8_fill, p9_found, p9_passages, p10_found, p10_redacted)
     return {f.__name__: f for f in every}
 
 

@@ -76,6 +76,15 @@ def found(df: DataFrame, path: str, text: str) -> DataFrame:
     return parsed(df, path, text).where("fails").select("path").distinct()
 
 
+def acceptance(df: DataFrame, path: str, text: str) -> DataFrame:
+    """(language, cause, files, share): of each language the files that are accepted (null cause), and those that are not by the kind of
+    their first error, what is quoted in its message left out."""
+    cause = F.trim(F.regexp_replace(F.regexp_replace("first_cause", r"'[^']*'|\"[^\"]*\"", "..."), r"before \.\.\.$", ""))
+    rows = parsed(df, path, text).groupBy("language", F.when(F.col("fails"), cause).alias("cause")).agg(F.count("*").alias("files"))
+    totals = rows.groupBy("language").agg(F.sum("files").alias("all"))
+    return rows.join(totals, "language").select("language", "cause", "files", (F.col("files") / F.col("all")).alias("share"))
+
+
 def rates(df: DataFrame, path: str, text: str, repository: str, reports: DataFrame | None = None) -> DataFrame:
     """(repository, language, files, failing, rate, compiler_failing, agreeing): per repository and language, with the number of
     files that the compiler failed on, whatever the reason, and of those for which it agrees."""

@@ -339,7 +339,8 @@ def test_packing_keeps_everything(spark):
     draw = random.Random(2)
     rows = [(i, "hot" if draw.random() < 0.5 else f"s{draw.randrange(5)}", draw.choice([0, 3, 64, 65, 300]) if draw.random() < 0.2 else draw.randrange(1, 64)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, source string, n long")
-    got = packing.pack(df, 64, containers=8, again_windows=8).collect()
+    packed = packing.pack(df, 64)
+    got = packed.collect()
     pieces = defaultdict(list)
     fill = Counter()
     for r in got:
@@ -354,6 +355,8 @@ def test_packing_keeps_everything(spark):
         assert at == n and (n <= 64) == (len(pieces[k]) == 1)
     total = sum(n for *_, n in rows)
     assert total / (64 * len([f for f in fill.values() if f])) > 0.95
+    windows = packing.fill(packed, 64).collect()
+    assert sum(w.tokens for w in windows) == total and sum(w.containers for w in windows) == len(fill) and all(w.fill > 0.95 for w in windows if w.tokens >= 500 * 64)
     assert packing.pack(df.limit(0), 64).count() == 0
 
 
@@ -366,6 +369,19 @@ def test_windows_keep_the_mixture(spark):
     assert all(abs(c["a"] - 750) <= 10 and abs(c["b"] - 250) <= 10 for c in by.values())
 
 
+def test_mixture_reaches_its_targets(spark):
+    rows = [(i, "abc"[i % 3], 7 + i % 5) for i in range(9000)]
+    targets = {"a": 2.0, "b": 1.0, "c": 1.0}
+    packed = packing.pack(spark.createDataFrame(rows, "k long, source string, n long"), 64, containers=20, targets=targets)
+    got = {r.source: r for r in packing.mixture(packed, targets).collect()}
+    for source, share in (("a", 0.5), ("b", 0.25), ("c", 0.25)):
+        r = got[source]
+        assert abs(r.target - share) < 1e-9 and r.windows > 20 and abs(r.mean - share) < 0.01
+        assert r.least > share - 0.02
+    natural = {r.source: r.target for r in packing.mixture(packing.pack(spark.createDataFrame(rows, "k long, source string, n long"), 64, 20)).collect()}
+    assert abs(sum(natural.values()) - 1) < 1e-9
+
+
 # --- P9
 
 
