@@ -67,4 +67,4 @@ def limited(programs: DataFrame, n: int | None, key: str = "ProgramID") -> DataF
 
 def sampled(programs: DataFrame, n: int, seed: int, key: str = "ProgramID") -> DataFrame:
     """``n`` programs, the same for the same seed whatever the partitions: those with the least hashes."""
-    return programs.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return programs.orderBy(F.md5(F.concat_ws(":", key, F.lit(seed))), key).limit(n)

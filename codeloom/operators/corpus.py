@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import fixed as X
 from codeloom.functions import text as T
-from codeloom.lineage import checkpointed, fenced, spread
+from codeloom.lineage import checkpointed, fenced, partitions_for, spread, stored
 
 SOURCE_EXTENSION = r"[.](cpp|cc|cxx)$"
 HEADER_EXTENSION = r"[.](h|hpp|hh|hxx)$"
@@ -137,9 +137,7 @@ def program_id(n: Column) -> Column:
 def number(df: DataFrame, order: str, into: str = "n") -> DataFrame:
     """Dense numbers from 1 in the order of a unique column, without one task for all rows: rows are range partitioned
     and sorted, and each partition starts after the counts of those before it (one row per partition)."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).persist()
+    placed = stored(df.repartitionByRange(partitions_for(df), order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     starts = placed.groupBy("_p").agg(F.count("*").alias("c"), F.min("_i").alias("_lo"))
     starts = starts.select("_p", "_lo", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     return placed.join(F.broadcast(starts), "_p").withColumn(into, F.col("_i") - F.col("_lo") + F.col("_s") + 1).drop("_p", "_i", "_lo", "_s")

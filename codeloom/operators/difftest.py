@@ -45,7 +45,7 @@ def representatives(failed: DataFrame, most: int = X.MAX_COMPACT_FAILURES, seed:
     """(program, test_index, reason): every failure where there are at most ``most``; else the first, the shortest and the
     longest input and ``drawn`` others by a hash. Of equally long inputs the last index counts as the longest, the first
     as the shortest. Picks are aggregates, so no program's failures are gathered."""
-    slim = failed.select("program", F.col("test_index").alias("i"), F.length("test_input").alias("len"), F.xxhash64("program", "test_index", F.lit(seed)).alias("h"))
+    slim = failed.select("program", F.col("test_index").alias("i"), F.length("test_input").alias("len"), F.md5(F.concat_ws(":", "program", "test_index", F.lit(seed))).alias("h"))
     slim = checkpointed(slim)
     sizes = slim.groupBy("program").agg(F.count("*").alias("n"), F.min("i").alias("first"))
     both = slim.join(sizes, "program")

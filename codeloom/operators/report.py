@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from codeloom.operators import statistics
+
 
 def duration(seconds: float | None) -> str:
     """1h02m03s, 2m03s or 3s."""
@@ -40,3 +42,17 @@ def text(df: DataFrame, title: str, width: int = 68, most: int = 1000) -> str:
     for r in rows:
         lines += [f"  {c:<{wide}}  {cell(r[c])}" for c in df.columns] + ["-" * width]
     return "\n".join(lines) + "\n"
+
+
+def experiment_report(summary: DataFrame, detail: DataFrame, configuration: dict[str, object], title: str = "Experiment") -> str:
+    """A run as Markdown: its configuration, the named figures, stages with what they show, errors, and repair rounds. Every section is
+    an aggregate of a few rows."""
+    setting = ["| Setting | Value |", "|---|---|", *[f"| {cell(k)} | {cell(v)} |" for k, v in configuration.items()]]
+    stages = statistics.stage_success(summary).join(statistics.findings(summary), "stage").orderBy("stage")
+    sections = (
+        (statistics.summary_table(summary, detail).orderBy("place").select("metric", "value"), "Results"),
+        (stages, "Stages"),
+        (statistics.top_errors(detail), "Errors"),
+        (statistics.repair_distribution_a(summary).orderBy("rounds"), "Repair rounds"),
+    )
+    return "\n".join([f"# {title}", "", "## Configuration", "", *setting, "", *[markdown(df, name) for df, name in sections]])

@@ -20,13 +20,33 @@ def running_sum(df: DataFrame, key: str, bucket: Column, order: list[str], value
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(key, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
     within = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_s", F.sum(value).over(within)).join(totals, [key, "_b"]).withColumn(into, F.col("_s") + F.col("_o")).drop("_b", "_s", "_o")
+    totals = totals.withColumnsRenamed({key: "_tk", "_b": "_tb"})
+    same = F.col(key).eqNullSafe(F.col("_tk")) & F.col("_b").eqNullSafe(F.col("_tb"))
+    return rows.withColumn("_s", F.sum(value).over(within)).join(totals, same).withColumn(into, F.col("_s") + F.col("_o")).drop("_b", "_s", "_o", "_tk", "_tb")
 
 
-def rolling_mean(df: DataFrame, key: str, order: list[str], value: str, rows: int = X.ROLLING_WINDOW) -> DataFrame:
-    """Mean of the last ``rows`` values above 0."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - rows, 0)
-    return df.where(F.col(value) > 0).withColumn("rolling", F.avg(value).over(w))
+#: Successive rows of one key that a task handles when it looks back.
+STRETCH = 100_000
+
+
+def rolling_mean(df: DataFrame, key: str, bucket: Column, order: list[str], value: str, rows: int = X.ROLLING_WINDOW) -> DataFrame:
+    """Mean of the last ``rows`` values above 0. Rows are numbered by ``running_sum``; a key is cut into stretches, each with the rows
+    before it that its first ones look back to, so a hot key is no single task."""
+    placed = running_sum(df.where(F.col(value) > 0).withColumn("_one", F.lit(1)), key, bucket, order, "_one", "_n").drop("_one")
+    place = F.col("_n") - 1
+    own = F.floor(place / STRETCH)
+    both = F.when(place % STRETCH > STRETCH - rows, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = placed.withColumn("_k", F.explode(both))
+    w = Window.partitionBy(key, "_k").orderBy("_n").rowsBetween(1 - rows, 0)
+    return spread.withColumn("rolling", F.avg(value).over(w)).where(F.col("_k") == own).drop("_n", "_k")
+
+
+def longest_runs(df: DataFrame, key: str, bucket: Column, order: list[str], outcome: str) -> DataFrame:
+    """(key, outcome, longest): the longest run of rows with the same outcome: gaps and islands, by numbers within the key and within
+    the key and outcome."""
+    rows = running_sum(df.withColumn("_one", F.lit(1)), key, bucket, order, "_one", "_n").withColumn("_ko", F.struct(key, outcome))
+    rows = running_sum(rows, "_ko", bucket, order, "_one", "_m").withColumn("_island", F.col("_n") - F.col("_m"))
+    return rows.groupBy(key, outcome, "_island").agg(F.count("*").alias("n")).groupBy(key, outcome).agg(F.max("n").alias("longest"))
 
 
 def session_totals(calls: DataFrame) -> DataFrame:
@@ -135,7 +155,8 @@ def adaptive_limits(calls: DataFrame, most: int) -> DataFrame:
     """(session, calls, current_limit, total_reductions, total_restorations) at the end of each session.
 
     ``calls`` has session, at (seconds), seq, ok, retryable. The controller is a sequential machine, so a session is followed
-    in order; rows stream through a sorted partition and only one session's few numbers are held at a time.
+    in order; rows stream through a sorted partition and only one session's few numbers are held at a time. A session is the calls
+    of one run of a program, which its rate limits bound; one task follows it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,7 @@ def diff_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def representative_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the drawn ones, which no other engine can draw."""
+    """Without the drawn ones."""
     return D.representatives(D.failures(D.judge(_facts(spark, sf_dir))), drawn=0)
 
 
@@ -114,7 +114,7 @@ def last_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compact_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the drawn failures, which no other engine can draw."""
+    """Without drawn failures."""
     return D.compact_summary(D.judge(_facts(spark, sf_dir)), drawn=0)
 
 
@@ -129,7 +129,7 @@ def last_call(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolling_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling mean time, and progress through each session's own calls."""
     calls = _calls(spark, sf_dir)
-    rows = M.rolling_mean(calls, "session", ["ts", "event_id"], "value")
+    rows = M.rolling_mean(calls, "session", F.to_date("ts"), ["ts", "event_id"], "value")
     rows = M.running_sum(rows.withColumn("one", F.lit(1)), "session", F.to_date("ts"), ["ts", "event_id"], "one", "done")
     sizes = calls.groupBy("session").agg(F.count("*").alias("total"), F.min("ts").alias("start"))
     rows = rows.join(sizes, "session").withColumn("seconds", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 1e6)
@@ -139,10 +139,7 @@ def rolling_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def success_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest run of calls with the same outcome, by session and outcome: gaps and islands."""
-    w = Window.partitionBy("session").orderBy("ts", "event_id")
-    v = Window.partitionBy("session", "ok").orderBy("ts", "event_id")
-    rows = _calls(spark, sf_dir).withColumn("island", F.row_number().over(w) - F.row_number().over(v))
-    return rows.groupBy("session", "ok", "island").agg(F.count("*").alias("n")).groupBy("session", "ok").agg(F.max("n").alias("longest"))
+    return M.longest_runs(_calls(spark, sf_dir), "session", F.to_date("ts"), ["ts", "event_id"], "ok")
 
 
 def phase_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +208,9 @@ SQL = {
       SELECT *, total - validated AS oracle_failures, validated - passed AS failed, validated > 0 AND validated = passed AS all_passed, total > 0 AND validated = 0 AS oracle_failed,
       CASE WHEN validated = 0 THEN 'Differential Testing: no cases could be validated (oracle failed)' ELSE 'Differential Testing: ' || passed || '/' || validated || ' passed' || CASE WHEN validated > passed THEN ', ' || (validated - passed) || ' FAILED' ELSE '' END || CASE WHEN total > validated THEN ', ' || (total - validated) || ' skipped (oracle failed)' ELSE '' END END AS summary FROM n""",
     "representative_failures": f"WITH {_FACTS} SELECT program, test_index, 'all' AS reason FROM x WHERE n <= 8 UNION ALL SELECT program, test_index, 'first' FROM x WHERE n > 8 AND i = 1 UNION ALL SELECT program, test_index, 'shortest' FROM short UNION ALL SELECT program, test_index, 'longest' FROM long",
+    "representative_failures_drawn": f"""WITH {_FACTS}, p AS (SELECT program, test_index, 'first' AS reason FROM x WHERE n > 8 AND i = 1 UNION ALL SELECT program, test_index, 'shortest' FROM short UNION ALL SELECT program, test_index, 'longest' FROM long),
+      d AS (SELECT program, test_index FROM x WHERE n > 8 AND (program, test_index) NOT IN (SELECT (program, test_index) FROM p) QUALIFY row_number() OVER (PARTITION BY program ORDER BY md5(program || ':' || test_index || ':42'), test_index) <= 2)
+      SELECT program, test_index, 'all' AS reason FROM x WHERE n <= 8 UNION ALL SELECT * FROM p UNION ALL SELECT *, 'drawn' FROM d""",
     "mismatch_detail": f"WITH {_FACTS} SELECT program, test_index, test_input, verdict, i AS rank FROM x WHERE i <= 10",
     "failure_lines": f"WITH {_FACTS} SELECT program, string_agg('#' || test_index || ' ' || verdict || ' input=''' || test_input || '''', chr(10) ORDER BY test_index) AS lines FROM x WHERE i <= 10 GROUP BY 1",
     "exec_cache_keys": f"WITH {_FACTS} SELECT sha256(program::VARCHAR) AS source_sha, sha256(test_input) AS input_sha, count(*) AS cases FROM f GROUP BY ALL",

@@ -58,3 +58,12 @@ def test_reports(spark):
     with pytest.raises(ValueError):
         R.markdown(spark.range(5), "T", 4)
     assert [R.duration(x) for x in (3723, 123, 3, None, -1)] == ["1h02m03s", "2m03s", "3s", "N/A", "N/A"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_experiment_report(spark):
+    summary, detail = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("summary_results", "experiment_results"))
+    text = R.experiment_report(summary, detail, {"workers": 4, "repair": None}, "Run 1")
+    assert text.startswith("# Run 1\n") and "| workers | 4 |" in text and "| repair | N/A |" in text
+    assert [line for line in text.split("\n") if line.startswith("## ")] == ["## Configuration", "## Results", "## Stages", "## Errors", "## Repair rounds"]
+    assert text.count("| Avg ") == 10

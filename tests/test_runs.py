@@ -50,7 +50,7 @@ def test_running_sum_and_rolling_mean(spark):
     rows = [(i, i // 40, draw.choice("ab"), float(draw.randrange(-2, 9))) for i in range(200)]
     df = spark.createDataFrame(rows, "i long, day long, s string, v double")
     got = {r.i: r.c for r in M.running_sum(df, "s", F.col("day"), ["i"], "v", "c").collect()}
-    mean = {r.i: r.rolling for r in M.rolling_mean(df, "s", ["i"], "v", 5).collect()}
+    mean = {r.i: r.rolling for r in M.rolling_mean(df, "s", F.col("day"), ["i"], "v", 5).collect()}
     for key in "ab":
         total, last = 0.0, []
         for i, _, s, v in rows:
@@ -62,6 +62,29 @@ def test_running_sum_and_rolling_mean(spark):
                     assert abs(mean[i] - sum(last) / len(last)) < 1e-9
 
 
+def test_running_sum_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 7), ("a", 1, 1)], "s string, i int, v int")
+    assert sorted(r.c for r in M.running_sum(df, "s", F.col("i"), ["i"], "v", "c").collect()) == [1, 5, 12]
+
+
+def test_stretches_of_one_key(spark, monkeypatch):
+    """One session, cut into stretches shorter than most of what is looked at."""
+    monkeypatch.setattr(M, "STRETCH", 30)
+    draw = random.Random(11)
+    rows = [(i, i // 50, "one", float(draw.randrange(-2, 9)), draw.random() < 0.7) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, day long, s string, v double, ok boolean")
+    mean = {r.i: r.rolling for r in M.rolling_mean(df, "s", F.col("day"), ["i"], "v", 20).collect()}
+    last: list[float] = []
+    for i, _, _, v, _ in rows:
+        if v > 0:
+            last = [*last, v][-20:]
+            assert abs(mean[i] - sum(last) / len(last)) < 1e-9
+    assert len(mean) == sum(r[3] > 0 for r in rows)
+    runs = {r.ok: r.longest for r in M.longest_runs(df, "s", F.col("day"), ["i"], "ok").collect()}
+    for ok in (True, False):
+        assert runs[ok] == max(len(x) for x in "".join("x" if r[4] == ok else " " for r in rows).split())
+
+
 def test_adaptive_controller(spark):
     draw = random.Random(8)
     rows, t = [], 0.0

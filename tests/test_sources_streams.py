@@ -90,3 +90,16 @@ def test_adaptive_stream_equals_the_batch(spark, tmp_path):
     for _, at, _, ok, r in rows:
         a.success() if ok else a.failure(at, r)
     assert max(got, key=lambda r: r.calls).current_limit == a.current
+
+
+def test_dashboard(spark, tmp_path):
+    schema = "ts timestamp, session string, seconds double, ok boolean"
+    rows = spark.createDataFrame([("2024-01-01 00:00:00", "a", 2.0, True), ("2024-01-01 00:01:00", "a", 4.0, False), ("2024-01-01 00:01:00", "b", 1.0, True)], schema.replace("ts timestamp", "ts string")).withColumn("ts", F.to_timestamp("ts"))
+    rows.write.parquet(str(tmp_path / "in"))
+    shown = []
+    totals = spark.createDataFrame([("a", 4)], "session string, total long")
+    query = T.dashboard(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), totals, lambda df, n: shown.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.session: r for r in shown}
+    assert (got["a"].done, got["a"].failed, got["a"].percent, got["a"].remaining, got["a"].eta_seconds, got["a"].per_minute) == (2, 1, 50, 2, 6.0, 20.0)
+    assert got["b"].percent == 100 and got["b"].remaining == 0
