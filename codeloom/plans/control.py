@@ -37,9 +37,9 @@ def plan_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures that were still there after three rounds of repair."""
+    """All failures, in whatever round."""
     rows = table(spark, sf_dir, "experiment_results")
-    return rows.where("FailureReason not in ('', 'None') and Round >= 3").select(F.col("Program").alias("program"), F.col("FinishedAt").alias("ts"), F.col("FailureReason").alias("reason"))
+    return rows.where("FailureReason not in ('', 'None')").select(F.col("Program").alias("program"), F.col("FinishedAt").alias("ts"), F.col("FailureReason").alias("reason"))
 
 
 def skip_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,20 +50,6 @@ def not_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.without_skipped(table(spark, sf_dir, "benchmark_dataset").select("ProgramID"), K.failures_by_program(_log(spark, sf_dir)))
 
 
-def _full_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All failures, in whatever round."""
-    rows = table(spark, sf_dir, "experiment_results")
-    return rows.where("FailureReason not in ('', 'None')").select(F.col("Program").alias("program"), F.col("FinishedAt").alias("ts"), F.col("FailureReason").alias("reason"))
-
-
-def skip_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.failures_by_program(_full_log(spark, sf_dir))
-
-
-def not_skipped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.without_skipped(table(spark, sf_dir, "benchmark_dataset").select("ProgramID"), K.failures_by_program(_full_log(spark, sf_dir)))
-
-
 def repository_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.of_repositories(table(spark, sf_dir, "benchmark_dataset").select("ProgramID", "Repository"), ["contest-archive", "unknown"])
 
@@ -89,11 +75,9 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "experiment_results").agg(F.max("RunId").alias("run"))
 
 
-QUERIES = (compiler_banners, original_paths, plan_expansion, plan_outcome, skip_list, not_skipped, skip_list_all, not_skipped_all, repository_filter, limited_programs, sampled_programs, run_counters, latest_run)
-
-_LOG = "f AS (SELECT Program AS program, FinishedAt AS ts, FailureReason AS reason FROM experiment_results WHERE FailureReason NOT IN ('', 'None') AND Round >= 3), s AS (SELECT program, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen FROM f GROUP BY 1)"
-_FULL = _LOG.replace(" AND Round >= 3", "")
+QUERIES = (compiler_banners, original_paths, plan_expansion, plan_outcome, skip_list, not_skipped, repository_filter, limited_programs, sampled_programs, run_counters, latest_run)
 
+_LOG = "f AS (SELECT Program AS program, FinishedAt AS ts, FailureReason AS reason FROM experiment_results WHERE FailureReason NOT IN ('', 'None')), s AS (SELECT program, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen FROM f GROUP BY 1)"
 SQL = {
     "compiler_banners": r"WITH b AS (SELECT concat_ws(' ', Compiler, '(build)', CompilerVersion) AS banner, count(*) AS n FROM compile_report GROUP BY 1) SELECT banner, n, CASE WHEN contains(lower(banner), 'clang') THEN 'clang' WHEN contains(lower(banner), 'g++') OR contains(lower(banner), 'gcc') THEN 'gcc' WHEN contains(lower(banner), 'microsoft') THEN 'msvc' ELSE 'unknown' END AS family, nullif(regexp_extract(banner, '(\d+\.\d+\.\d+)', 1), '') AS version FROM b",
     "original_paths": f"WITH p AS (SELECT File, CASE WHEN '{RAW_ROOT}' || File IN (SELECT OriginalPath FROM compile_report WHERE OriginalPath IS NOT NULL) THEN '{RAW_ROOT}' || File ELSE File END AS path FROM raw_sources) SELECT File, path, regexp_replace(path, '/?[^/]*$', '') AS directory FROM p",
@@ -106,8 +90,6 @@ SQL = {
     "repository_filter": "SELECT ProgramID, Repository FROM benchmark_dataset WHERE Repository IN ('contest-archive', 'unknown')",
     "limited_programs": "SELECT ProgramID FROM benchmark_dataset ORDER BY 1 LIMIT 25",
     "sampled_programs": "SELECT ProgramID FROM benchmark_dataset ORDER BY md5(ProgramID || ':7'), ProgramID LIMIT 25",
-    "skip_list_all": f"WITH {_FULL}, l AS (SELECT program, reason FROM f QUALIFY row_number() OVER (PARTITION BY program ORDER BY ts DESC NULLS LAST, reason DESC) = 1) SELECT program, count, first_seen, last_seen, reason FROM s JOIN l USING (program)",
-    "not_skipped_all": f"WITH {_FULL} SELECT ProgramID FROM benchmark_dataset WHERE ProgramID NOT IN (SELECT program FROM s WHERE count >= 2 AND program IS NOT NULL)",
     "run_counters": "SELECT RunId, coalesce(lower(trim(ErrorCategory)), 'none') AS label, count(*) AS n, sum(coalesce(PassedTestCount, 0))::BIGINT AS passed_tests FROM experiment_results GROUP BY 1, 2",
     "latest_run": "SELECT max(RunId) AS run FROM experiment_results",
 }

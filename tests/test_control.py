@@ -43,13 +43,13 @@ def test_skip_lists_of_all_rounds(spark):
     for program, ts, reason in rows:
         if reason not in (None, "", "None"):
             times.setdefault(program, []).append(ts)
-    got = {r.program: r for r in P.skip_list_all(spark, sf_dir).collect()}
+    got = {r.program: r for r in P.skip_list(spark, sf_dir).collect()}
     assert set(got) == set(times)
     for program, seen in times.items():
         known = [t for t in seen if t is not None]
         assert (got[program]["count"], got[program].first_seen, got[program].last_seen) == (len(seen), min(known, default=None), max(known, default=None))
     every = {r[0] for r in spark.read.parquet(f"{sf_dir}/benchmark_dataset.parquet").select("ProgramID").collect()}
-    assert {r[0] for r in P.not_skipped_all(spark, sf_dir).collect()} == {p for p in every if len(times.get(p, [])) < 2}
+    assert {r[0] for r in P.not_skipped(spark, sf_dir).collect()} == {p for p in every if len(times.get(p, [])) < 2}
 
 
 def test_reports(spark):
