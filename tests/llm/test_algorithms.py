@@ -396,7 +396,7 @@ def test_windows_follow_targets(spark):
     # b has 10,000 tokens and runs out after 20 windows of 500; a goes on alone.
     assert all(abs(by[i]["a"] - 500) <= 10 and abs(by[i]["b"] - 500) <= 10 for i in range(1, 20))
     assert all(by[i]["b"] == 0 and abs(by[i]["a"] - 500) <= 10 for i in range(22, 60))
-    pieces = packing.pack(df, 100, containers=10, again_windows=8, targets={"b": 2.0}).collect()
+    pieces = packing.pack(df, 100, containers=10, targets={"b": 2.0}).collect()
     assert sum(r.n for r in pieces) == 40_000
     with pytest.raises(ValueError):
         packing.assign_windows(df, 1000, targets={"a": 0})
